@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP10_SQL, op10_decontamination
+from .minhash import op5_minhash
 from .packing import op1_packing
 from .sharding import op9_sharding
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op5_minhash": op5_minhash, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
