@@ -95,6 +95,13 @@ def fingerprint(text="text"):
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(0x5EED), t, F.length(t)).alias("b"))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """A node for each text: a, b (its fingerprint), id (its smallest doc_id), copies, text. Copies are combined before the shuffle."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fingerprint().alias("fp"))
+    one = rows.groupBy(F.col("fp.a").alias("a"), F.col("fp.b").alias("b")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    return one.withColumn("node", F.monotonically_increasing_id())
+
+
 def components(nodes_edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 

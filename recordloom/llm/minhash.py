@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, fingerprint, table, tuned
+from .common import components, cut, distinct_texts, fingerprint, table, tuned
 from .textscan import Words, chunks, mix
 
 SHINGLE = 5
@@ -102,13 +102,6 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, sig binary, bands array<long>")
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """A node for each text: node, a, b (its fingerprint), id (its smallest doc_id), text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fingerprint().alias("fp"))
-    one = rows.groupBy(F.col("fp.a").alias("a"), F.col("fp.b").alias("b")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
-    return cut(one.withColumn("node", F.monotonically_increasing_id()), "texts")
-
-
 def agreeing(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (u, v) whose sizes and signatures let them reach the threshold."""
     side = lambda x: signs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
@@ -243,7 +236,7 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, a, b (text fingerprint), n_shingles, component_id, kept for every row of docs."""
     tuned(docs.sparkSession)
-    texts = distinct_texts(docs)
+    texts = cut(distinct_texts(docs), "texts")
     signs, joined = linked_nodes(texts, shingle, percent)
     nodes = texts.select("node", "a", "b", "id").join(signs.select("node", "n_shingles"), "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("id").alias("least"))

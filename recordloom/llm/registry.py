@@ -10,12 +10,13 @@ from .decontamination import OP10_SQL, op10_decontamination
 from .minhash import op5_minhash
 from .packing import op1_packing
 from .sharding import op9_sharding
+from .substrings import OP3_SQL, op3_substrings
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op5_minhash": op5_minhash, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_substrings": op3_substrings, "op5_minhash": op5_minhash, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op10_decontamination": OP10_SQL}
