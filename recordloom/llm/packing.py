@@ -13,9 +13,11 @@ an empty table gives an empty result; other columns of the input, whatever their
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,12 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Size ranges that are swept in parallel.
 RANGES = 8
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words, and words without case and marks, whose ids a worker remembers; about 170 bytes each.
+REMEMBERED = 1_200_000
+REMEMBERED_PARTS = 800_000
+#: What str.split() takes for white space and the tokenizer does not.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 _TAIL = ".,;:!?%#*$&|()\"-"
 
 
@@ -42,8 +48,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if any(map(text.__contains__, _NOT_SPACE)):
+        return [x for x in _SPACE.split(text) if x]
+    return text.split()
+
+
 class WordIds:
-    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once."""
+    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once.
+
+    A word of plain letters with marks behind it is two tokens' worth of work apart, so both halves are remembered alone;
+    plain words that are new are encoded together, since each of them ends with its only token marked as a word's end.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,44 +71,63 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
     def learn(self, words: list[str]) -> None:
-        """A plain word followed by marks is two tokens' worth of work apart, so both halves are remembered alone."""
-        halves, wanted = [], set()
+        if len(self.parts) + len(words) > REMEMBERED_PARTS:
+            self.parts = {"": b""}
+        if len(self.words) + len(words) > REMEMBERED:
+            self.words = {}
+        parts, halves, plain, other = self.parts, [], set(), set()
         for w in words:
             core = w.rstrip(_TAIL)
-            if core.isascii() and core.isalpha():
-                h = (core.lower(), w[len(core) :])
+            if core.isalpha() and max(core) < "\u0100":  # letters that no normal form joins or splits
+                key, tail = core.lower(), w[len(core) :]
+                if key not in parts:
+                    plain.add(key)
+                if tail not in parts:
+                    other.add(tail)
             else:
-                h = (w, "")
-            halves.append(h)
-            wanted.update(x for x in h if x and x not in self.parts)
-        if len(self.parts) + len(wanted) > REMEMBERED:
-            self.parts.clear()
-            wanted = {x for h in halves for x in h if x}
-        new = list(wanted)
-        self.parts.update(zip(new, self._encode(new), strict=True))
-        self.parts[""] = b""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in zip(words, halves, strict=True))
+                key, tail = w, ""
+                if w not in parts:
+                    other.add(w)
+            halves.append((key, tail))
+        for new, encode in ((list(plain), self._encode_plain), (list(other), self._encode)):
+            for a in range(0, len(new), 4096):
+                parts.update(zip(new[a : a + 4096], encode(new[a : a + 4096]), strict=True))
+        self.words.update([(w, parts[a] + parts[b]) for w, (a, b) in zip(words, halves, strict=True)])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [x.split() if x else [] for x in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
+        split = [words(x) for x in texts]
+        met = set().union(*split)
+        new = met.difference(self.words)
         if new:
-            if len(self.words) + len(new) > REMEMBERED:
-                new = {w for ws in split for w in ws}
-            self.learn(list(new))
+            self.learn(list(met if len(self.words) + len(new) > REMEMBERED else new))
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for a worker, which keeps what it has learned from task to task."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Texts as pieces of at most limit ids: doc_id, piece, start, length, ids_crc32, part, nth (rank in the part among pieces of that length) and, if asked for, ids."""
     path = path or vocabulary_path()
@@ -98,13 +135,13 @@ def token_pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None, k
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = WordIds(path), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        encode, part, seen = word_ids(path), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             out: list[tuple] = []
-            for a in range(0, len(texts), 64):
-                for doc, got in zip(ids[a : a + 64], encode(texts[a : a + 64]), strict=True):
+            for a in range(0, len(texts), 128):
+                for doc, got in zip(ids[a : a + 128], encode(texts[a : a + 128]), strict=True):
                     got += END_ID.to_bytes(4, "little")
                     n = len(got) // 4
                     for p, at in enumerate(range(0, n, limit)):
