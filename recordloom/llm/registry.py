@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP10_SQL, op10_decontamination
 from .lines import op8_lines
 from .minhash import op5_minhash
 from .packing import op1_packing
+from .personal import op6_personal
 from .pivots import op7_pivots
 from .sharding import op9_sharding
 from .substrings import OP3_SQL, op3_substrings
@@ -18,7 +20,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_minhash": op5_minhash, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_minhash": op5_minhash, "op6_personal": op6_personal, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
