@@ -1,0 +1,4 @@
+"""Registered queries and their SQL."""
+
+from . import catalog, provenance, versions, write  # noqa: F401  registers
+from .registry import ORACLES, QUERIES  # noqa: F401
