@@ -3,10 +3,10 @@
 Documents with equal texts share a node. A node's signature holds HASHES minima of universal hashes over its distinct word
 shingles; BANDS bands of equal minima make buckets. First, every member of a bucket is paired with the bucket's leader.
 Pairs whose signatures agree enough are confirmed on their full shingle sets, and confirmed links joined into components.
-A bucket whose members still lie in several components is looked at again: signatures across components are compared in
-blocks of BLOCK members, each member's best partners are confirmed, and REACH, the number of partners, grows fourfold
-each time until no pair that its signature lets through is left. No group is gathered whole and none of its pairs are
-dropped; pairs inside one component need no comparing.
+Buckets whose members still lie in several components are looked at again: pairs across components whose
+signatures agree join these into families, which hold every link that is still to be found. A family's texts are dealt to
+blocks, and each pair of blocks is compared in a task of its own, across components only: first signatures, then full
+sets. No group is gathered whole, no pair is dropped, and what a task returns is a forest over its rows, never its pairs.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8, and its signature falls under AGREE with
 probability below 1e-8.
@@ -35,7 +35,8 @@ BANDS = 32
 #: Agreeing minima, of HASHES, under which a pair is not confirmed.
 AGREE = 75
 BLOCK = 512
-REACH = 4
+#: Shingles of the texts that a block may hold, if they are of more than one text.
+BLOCK_SHINGLES = 200_000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=_U) * _U(2) + _U(1)
@@ -116,21 +117,22 @@ def agreeing(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> Data
     return sized.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
+    for a, b, data, off in chunks(col):
+        x, doc = shingles(Words(data, off, lower=True), shingle)
+        yield from map(np.unique, np.split(x, np.searchsorted(doc, np.arange(1, b - a))))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs (u, v) whose full shingle sets reach the threshold."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv")
 
-    def sets(col: pa.Array) -> Iterator[np.ndarray]:
-        for a, b, data, off in chunks(col):
-            x, doc = shingles(Words(data, off, lower=True), shingle)
-            yield from np.split(x, np.searchsorted(doc, np.arange(1, b - a)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                x, y = np.unique(x), np.unique(y)
+            for x, y in zip(shingle_sets(batch.column(2), shingle), shingle_sets(batch.column(3), shingle), strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
@@ -138,68 +140,119 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percen
     return both.mapInArrow(run, "u long, v long")
 
 
-def across(members: DataFrame, reach: int, percent: int = PERCENT) -> DataFrame:
-    """members (key, size, node, component, n_shingles, sig) of buckets that span components -> pairs (u, v) across components, at most reach for a member of a block pair, and whether more were left."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = (
-        members.withColumn("_n", blocks)
-        .withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select("key", F.least("_i", "_j").alias("p"), F.greatest("_i", "_j").alias("q"), F.col("_i").alias("i"), "node", "component", "n_shingles", "sig")
-    )
-    spread = spread.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-
-    def compare(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        p, q = int(g["p"][0]), int(g["q"][0])
-        left, right = np.flatnonzero(g["i"] == p), np.flatnonzero(g["i"] == q)
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            n, m = g["n_shingles"][rows][:, None], g["n_shingles"][right][None]
-            ok = (g["component"][rows][:, None] != g["component"][right][None]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-            if p == q:
-                ok &= g["node"][rows][:, None] < g["node"][right][None]
-            x, y = np.nonzero(ok)
-            if not len(x):
-                continue
-            same = np.concatenate([(g["sig"][rows[x[k : k + 65536]]] == g["sig"][right[y[k : k + 65536]]]).sum(1) for k in range(0, len(x), 65536)])
-            keep = same >= AGREE
-            x, y, same = x[keep], y[keep], same[keep]
-            order = np.lexsort((g["node"][right[y]], -same, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            yield g["node"][rows[x[rank < reach]]], g["node"][right[y[rank < reach]]], bool((rank >= reach).any())
+def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the long or int columns of that name, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in names])
+        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = ids[:, a].tolist()
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(members: DataFrame, key: str, blocks) -> DataFrame:
+    """members of a group dealt to blocks, and each to the tasks of its block's pairs: adds i (its block), p <= q (the pair)."""
+    n = members.withColumn("_n", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    both = n.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = both.withColumn("p", F.least("i", "_j")).withColumn("q", F.greatest("i", "_j")).drop("_n", "_j")
+    return dealt.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+
+
+def alike(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of a block pair whose components differ and whose sizes and signatures let them reach the threshold."""
+    i, n, component = (t[x].to_numpy() for x in ("i", "n_shingles", "component"))
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+    p, q = t["p"][0].as_py(), t["q"][0].as_py()
+    left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        a, b = n[rows][:, None], n[right][None]
+        ok = (component[rows][:, None] != component[right][None]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+        if p == q:
+            ok &= rows[:, None] < right[None]
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 65536):
+            u, v = rows[x[k : k + 65536]], right[y[k : k + 65536]]
+            keep = (sig[u] == sig[v]).sum(1) >= AGREE
+            xs.append(u[keep])
+            ys.append(v[keep])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least row that each of n rows reaches over pairs x, y."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _edges(node: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(least != np.arange(len(least)))
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[least[some]])], names=["u", "v"])
+
+
+def perhaps(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """members (key, size, node, component, n_shingles, sig) of buckets -> edges (u, v) that join what pairs across components with agreeing signatures join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in grouped(batches, ["key", "p", "q"]):
+            x, y = alike(t, percent)
+            if len(x):
+                yield _edges(t["node"].to_numpy(), forest(x, y, len(t)))
 
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = {x: t[x].to_numpy() for x in ("key", "p", "q", "i", "node", "component", "n_shingles")}
-            g["sig"] = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
-            for u, v, more in compare(g):
-                if len(u) or more:
-                    u, v = np.minimum(u, v), np.maximum(u, v)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), more))], names=["u", "v", "more"])
+    dealt = block_pairs(members, "key", F.ceil(F.col("size") / BLOCK))
+    return dealt.select("key", "p", "q", "i", "node", "component", "n_shingles", "sig").mapInArrow(run, "u long, v long")
 
-        def key(b: pa.RecordBatch, at: int) -> tuple:
-            return tuple(b.column(x)[at].as_py() for x in ("key", "p", "q"))
 
-        for batch in batches:
-            if not len(batch):
+def surely(members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """members (family, blocks, node, component, n_shingles, sig, text) -> links (u, v) that join all that confirmed pairs across components join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["family", "p", "q"]):
+            x, y = alike(t, percent)
+            if not len(x):
                 continue
-            ids = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "p", "q")])
-            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
-            if held and key(held[-1], 0) != key(batch, 0):
-                yield from out(pa.Table.from_batches(held))
-                held = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-                held.append(batch.slice(a, b - a))
-                if b < len(batch):
-                    yield from out(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield from out(pa.Table.from_batches(held))
+            sets = {}
+            some = np.union1d(x, y)
+            for r, one in zip(some.tolist(), shingle_sets(t["text"].combine_chunks().take(pa.array(some)), shingle), strict=True):
+                sets[r] = one
+            linked: list[np.ndarray] = []
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            for own in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+                mine, others = sets[int(x[own[0]])], [sets[r] for r in y[own].tolist()]
+                size = np.array([len(o) for o in others])
+                flat = np.concatenate(others)
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
+                linked.append(own[(shared > 0) & (100 * shared >= percent * (len(mine) + size - shared))])
+            on = np.concatenate(linked)
+            if len(on):
+                yield _edges(t["node"].to_numpy(), forest(x[on], y[on], len(t)))
+
+    dealt = block_pairs(members, "family", F.col("blocks"))
+    return dealt.select("family", "p", "q", "i", "node", "component", "n_shingles", "sig", "text").mapInArrow(run, "u long, v long")
+
 
-    return spread.mapInArrow(run, "u long, v long, more boolean")
+def stars(joined: DataFrame) -> DataFrame:
+    return joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
 def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -208,29 +261,20 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     keys = signs.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     members = cut(keys.join(shared, "key"), "members")
-    pairs = cut(members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    tested = cut(agreeing(pairs, signs, percent), "agreeing")
-    links = cut(confirmed(tested, texts, shingle, percent), "links")
-    joined = cut(components(links), "components")
-    reach = REACH
-    while True:
-        of = members.join(joined, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
-        mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        apart = of.join(mixed, "key", "left_semi").join(signs.select("node", "n_shingles", "sig"), "node")
-        found = cut(across(apart, reach, percent), "across")
-        fresh = cut(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "fresh")
-        more = bool(found.where("more").head(1))
-        if not fresh.head(1):
-            if not more:
-                return signs, joined
-            reach *= 4
-            continue
-        tested = tested.unionByName(fresh)
-        links = cut(confirmed(fresh, texts, shingle, percent), "links")
-        if links.head(1):
-            stars = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            joined = cut(components(stars.unionByName(links)), "components")
-        reach *= 4
+    pairs = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    links = confirmed(cut(agreeing(pairs, signs, percent), "agreeing"), texts, shingle, percent)
+    joined = cut(components(cut(links, "links")), "components")
+
+    of = members.join(joined, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
+    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    sized = signs.select("node", "n_shingles", "sig")
+    edges = cut(perhaps(of.join(mixed, "key", "left_semi").join(sized, "node"), percent), "perhaps")
+    families = components(edges.unionByName(stars(joined))).withColumnRenamed("component", "family")
+    inside = cut(families.join(joined, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")).join(sized, "node"), "families")
+    several = inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi")
+    several = several.select("family", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
+    more = cut(surely(inside.join(several, "family").join(texts.select("node", "text"), "node"), shingle, percent), "links")
+    return signs, cut(components(more.unionByName(stars(joined))), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
