@@ -13,11 +13,10 @@ an empty table gives an empty result; other columns of the input, whatever their
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +26,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, table, tuned
+from .textscan import LOWER, Words, chunks
 
 LIMIT = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Size ranges that are swept in parallel.
 RANGES = 8
-#: Words, and words without case and marks, whose ids a worker remembers; about 170 bytes each.
+#: Units whose ids a worker remembers; about 150 bytes each.
 REMEMBERED = 1_200_000
-REMEMBERED_PARTS = 800_000
-#: What str.split() takes for white space and the tokenizer does not.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-_TAIL = ".,;:!?%#*$&|()\"-"
+#: 0 white space, 1 letters, 2 digits, 3 marks, 4 what the bytes alone do not tell (an apostrophe may begin a unit of letters).
+KINDS = np.full(256, 3, np.uint8)
+KINDS[[0x20, *range(0x09, 0x0E)]] = 0
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
+KINDS[0x30:0x3A] = 2
+KINDS[[0x27, *range(0x80, 0xC3), *range(0xC4, 0x100)]] = 4
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -48,19 +49,41 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if any(map(text.__contains__, _NOT_SPACE)):
-        return [x for x in _SPACE.split(text) if x]
-    return text.split()
+class Units(Words):
+    """What the tokenizer cuts texts into before it merges: runs of letters, single digits, runs of marks; lower-cased.
+
+    Only for texts of ASCII (without apostrophes) and accented Latin letters, whose units follow from their bytes; plain
+    tells which texts are.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        n = len(data)
+        data = LOWER[data]
+        lead = data == 0xC3
+        after = np.zeros(n, bool)
+        after[1:] = lead[:-1]
+        kind = KINDS[data]
+        odd = (kind == 4) & ~after | after & ((data == 0x97) | (data == 0xB7))
+        kind[after] = 1
+        data[after & (data >= 0x80) & (data <= 0x9E)] += 0x20
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        turn = np.ones(n + 1, bool)
+        turn[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        turn |= edge
+        self.data, self.off = data, off
+        self.starts = np.flatnonzero(turn[:-1] & (kind != 0))
+        self.ends = np.flatnonzero(turn[1:] & (kind != 0)) + 1
+        self.first = np.searchsorted(self.starts, off)
+        self.letters = kind[self.starts] == 1
+        self.plain = np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(odd)))[off]) == 0
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once.
+    """Ids of texts under a tokenizer that never joins across white space: each distinct unit is encoded once.
 
-    A word of plain letters with marks behind it is two tokens' worth of work apart, so both halves are remembered alone;
-    plain words that are new are encoded together, since each of them ends with its only token marked as a word's end.
+    New units of letters are encoded together, since each of them ends with its only token marked as a word's end. Texts
+    that are not plain are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -74,52 +97,66 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return self._encode(words)
-        raw, cuts = ids.tobytes(), (4 * ends).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) + len(words) > REMEMBERED_PARTS:
-            self.parts = {"": b""}
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words = {}
-        parts, halves, plain, other = self.parts, [], set(), set()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core.isalpha() and max(core) < "\u0100":  # letters that no normal form joins or splits
-                key, tail = core.lower(), w[len(core) :]
-                if key not in parts:
-                    plain.add(key)
-                if tail not in parts:
-                    other.add(tail)
-            else:
-                key, tail = w, ""
-                if w not in parts:
-                    other.add(w)
-            halves.append((key, tail))
-        for new, encode in ((list(plain), self._encode_plain), (list(other), self._encode)):
-            for a in range(0, len(new), 4096):
-                parts.update(zip(new[a : a + 4096], encode(new[a : a + 4096]), strict=True))
-        self.words.update([(w, parts[a] + parts[b]) for w, (a, b) in zip(words, halves, strict=True)])
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.begin, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of letters, and how many each has."""
+        ids = self.encode([" ".join(units)])[0]
+        size = np.diff(np.flatnonzero(np.concatenate(([True], self.ends[ids]))))
+        if len(size) == len(units):
+            return ids, size
+        return self._others(units)
+
+    def _others(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.encode(units)
+        return np.concatenate(got), np.array([len(x) for x in got])
+
+    def _learn(self, hashes: list[int], units: list[str], encode) -> None:
+        for a in range(0, len(units), 4096):
+            ids, size = encode(units[a : a + 4096])
+            n, at = len(size), len(self.known)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while at + n > len(self.begin):
+                self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.begin[at : at + n] = self.used + np.cumsum(size) - size
+            self.size[at : at + n] = size
+            self.used += len(ids)
+            self.known.update(zip(hashes[a : a + 4096], range(at, at + n), strict=True))
+
+    def __call__(self, col: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [words(x) for x in texts]
-        met = set().union(*split)
-        new = met.difference(self.words)
-        if new:
-            self.learn(list(met if len(self.words) + len(new) > REMEMBERED else new))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+        for a, b, data, off in chunks(col):
+            u = Units(data, off)
+            if len(self.known) > REMEMBERED:
+                self.forget()
+            hashes, where, which = np.unique(u.hash, return_index=True, return_inverse=True)
+            found = np.fromiter(map(self.known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                raw = u.data.tobytes()
+                for on, encode in ((u.letters[where[new]], self._letters), (~u.letters[where[new]], self._others)):
+                    some = new[on]
+                    units = [raw[s:e].decode("utf-8", "replace") for s, e in zip(u.starts[where[some]].tolist(), u.ends[where[some]].tolist(), strict=True)]
+                    self._learn(hashes[some].tolist(), units, encode)
+                found[new] = [self.known[h] for h in hashes[new].tolist()]
+            at = found[which]
+            size = self.size[at]
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+            ids = self.ids[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])]
+            cuts = total[u.first].tolist()
+            whole = dict(zip(odd := np.flatnonzero(~u.plain).tolist(), self.encode(col.take(pa.array([a + d for d in odd], pa.int64())).to_pylist()), strict=True)) if not u.plain.all() else {}
+            for d in range(b - a):
+                yield (whole[d] if d in whole else ids[cuts[d] : cuts[d + 1]]).tobytes()
 
 
 @lru_cache(1)
@@ -137,18 +174,15 @@ def token_pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = word_ids(path), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
             out: list[tuple] = []
-            for a in range(0, len(texts), 128):
-                for doc, got in zip(ids[a : a + 128], encode(texts[a : a + 128]), strict=True):
-                    got += END_ID.to_bytes(4, "little")
-                    n = len(got) // 4
-                    for p, at in enumerate(range(0, n, limit)):
-                        piece = got[4 * at : 4 * (at + limit)]
-                        size = len(piece) // 4
-                        out.append((doc, p, at, size, zlib.crc32(piece), part, int(seen[size]), *([piece] * keep_ids)))
-                        seen[size] += 1
+            for doc, got in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                got += END_ID.to_bytes(4, "little")
+                n = len(got) // 4
+                for p, at in enumerate(range(0, n, limit)):
+                    piece = got[4 * at : 4 * (at + limit)]
+                    size = len(piece) // 4
+                    out.append((doc, p, at, size, zlib.crc32(piece), part, int(seen[size]), *([piece] * keep_ids)))
+                    seen[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
