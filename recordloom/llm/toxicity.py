@@ -25,8 +25,10 @@ from .textscan import Words, chunks, mix
 BITS = 20
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
+#: Rows of the sample that a feature must be in.
+ROWS = 3
 CUT = 0.3
 _U = np.uint64
 #: Bytes that end a word: ASCII but for letters and digits.
@@ -44,6 +46,8 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights that are not zero, and the bias."""
+    seen = np.bincount(np.concatenate([x for x, _ in examples]), minlength=1 << BITS) >= ROWS
+    examples = [(x[seen[x]], y) for x, y in examples]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bz, bn = 0.0, 0.0
 
