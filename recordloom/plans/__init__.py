@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-from . import catalog, functions, provenance, versions, write  # noqa: F401  registers
+from . import catalog, functions, provenance, upkeep, versions, write  # noqa: F401  registers
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -114,3 +114,24 @@ def test_diff_pages_never_leave_the_first_row_out(spark):
     assert V.pages_by_bytes(rows, "size", 10, 100).count() == 1
     assert V.pages_by_bytes(rows, "size", 10, 1500).count() == 2
     assert V.pages_by_bytes(rows.where(F.lit(False)), "size", 10, 1500).count() == 0
+
+
+def test_tree_of_a_version_does_not_depend_on_partitions(frames):
+    from recordloom.operators import trees
+
+    rows, e = frames[1]
+    s = V.state(e, max(r[2] for r in rows))
+    one = {(r["type"], r["last_key"], r["hash"]) for r in trees.leaves(s.repartition(1), 2, 3).collect()}
+    assert one == {(r["type"], r["last_key"], r["hash"]) for r in trees.leaves(s.repartition(7), 2, 3).collect()}
+    assert sum(r["count"] for r in trees.roots(s, 2, 3, 2, 8).collect()) == s.count()
+
+
+def test_merge_policy():
+    from recordloom.operators.layouts import Group, plan_merge, range_cuts, tier
+
+    small = [Group(n, n, 10) for n in range(1, 6)]
+    assert plan_merge(small, 3, 100) == small
+    assert plan_merge([Group(0, 0, 10_000), *small], 3, 100) == small
+    assert plan_merge([Group(0, 0, 90), Group(1, 1, 1), Group(2, 2, 1)], 3, 100) == []
+    assert plan_merge(small[:2], 3, 100) == [] and [tier(x, 10, 100) for x in (1, 100, 101, 1000, 1001)] == [0, 0, 1, 1, 2]
+    assert range_cuts([("a", 5), ("b", 6), ("c", 1), ("d", 20)], 10) == ["b", "d"]
