@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import decontamination, lines, minhash, packing, toxicity
-from recordloom.llm.common import cut, table
+from recordloom.llm.common import cut, made, release, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list = []
+
+
+def stage(f: Stage) -> Stage:
+    """Before a stage begins, tables that earlier stages cut are removed, but those that its docs still read."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            release(_left, docs.inputFiles())
+            _left.clear()
+        before = len(made())
+        out = f(spark, docs, sf_dir)
+        _left.extend(made()[before:])
+        return out
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from the labelled rows of documents and labels."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go from texts; all documents stay."""
     return lines.dedup_lines(docs)
 
 
+@stage
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose shingles of five words are alike to 0.8, one stays."""
     return minhash.keep_one(docs)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of test items go from texts; documents that are mostly test items go."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as pieces with their places in sequences."""
     return packing.pack_documents(docs)
@@ -42,6 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES[:-1]:
+        docs = cut(f(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

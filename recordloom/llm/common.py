@@ -72,7 +72,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by cut that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df._loom_path)
+
+
+def release(paths: list[tuple[SparkSession, str]], keep: list[str]) -> None:
+    """Removes folders made by fresh_path, but those that files to keep lie in."""
+    for spark, path in paths:
+        tail = path.rpartition("/")[2]
+        if not any(f"/{tail}/" in f for f in keep):
+            remove(spark, path)
+
+
+def made() -> list[tuple[SparkSession, str]]:
+    """Folders that this session has made so far."""
+    return list(_made)
 
 
 def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -106,8 +127,8 @@ def components(nodes_edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     nodes_edges has columns u and v. Returns (node, component) for every node on an edge, component being the smallest
-    node that it reaches. Each star is a minimum per node (combined before the shuffle) joined back to the edges, so no
-    task gathers a node's neighbours.
+    node that it reaches. Each star is a minimum per node (combined before the shuffle, and cut, so that a join with a hub's
+    many edges can be split) joined back to the edges; no task gathers a node's neighbours.
     """
     spark = nodes_edges.sparkSession
 
@@ -124,7 +145,8 @@ def components(nodes_edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = cut(nodes_edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
-        e = cut(small(large(e)), "stars")
+        last, e = e, cut(small(large(e)), "stars")
+        drop(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

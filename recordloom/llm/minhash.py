@@ -13,7 +13,8 @@ probability below 1e-8.
 
 Defined results: null and empty texts, and texts without a word, have no shingles and link with nothing; rows that repeat
 belong to one component and each report it; an empty table gives an empty result; other columns are ignored by
-near_duplicates and kept by keep_one; without any doc_id a component has a null id.
+near_duplicates and kept by keep_one, where names that begin with _ are taken; without any doc_id a component has a null
+id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, distinct_texts, fingerprint, table, tuned
+from .common import components, cut, distinct_texts, drop, fingerprint, table, tuned
 from .textscan import Words, chunks, mix
 
 SHINGLE = 5
@@ -262,19 +263,24 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     members = cut(keys.join(shared, "key"), "members")
     pairs = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    links = confirmed(cut(agreeing(pairs, signs, percent), "agreeing"), texts, shingle, percent)
-    joined = cut(components(cut(links, "links")), "components")
+    close = cut(agreeing(pairs, signs, percent), "agreeing")
+    links = cut(confirmed(close, texts, shingle, percent), "links")
+    joined = cut(components(links), "components")
+    drop(close, links)
 
     of = members.join(joined, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     sized = signs.select("node", "n_shingles", "sig")
     edges = cut(perhaps(of.join(mixed, "key", "left_semi").join(sized, "node"), percent), "perhaps")
+    drop(members)
     families = components(edges.unionByName(stars(joined))).withColumnRenamed("component", "family")
     inside = cut(families.join(joined, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")).join(sized, "node"), "families")
     several = inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi")
     several = several.select("family", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
     more = cut(surely(inside.join(several, "family").join(texts.select("node", "text"), "node"), shingle, percent), "links")
-    return signs, cut(components(more.unionByName(stars(joined))), "components")
+    out = cut(components(more.unionByName(stars(joined))), "components")
+    drop(edges, inside, more, joined)
+    return signs, out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -284,21 +290,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signs, joined = linked_nodes(texts, shingle, percent)
     nodes = texts.select("node", "a", "b", "id").join(signs.select("node", "n_shingles"), "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("id").alias("least"))
-    nodes = nodes.join(least, "component").select("a", "b", "n_shingles", "least")
+    nodes = cut(nodes.join(least, "component").select("a", "b", "n_shingles", "least"), "nodes")
+    drop(texts, signs, joined)
     rows = docs.select("doc_id", fingerprint().alias("fp")).select("doc_id", F.col("fp.a").alias("a"), F.col("fp.b").alias("b"))
     of = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rows.join(nodes, ["a", "b"]).select("doc_id", "a", "b", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id stays, and of rows that repeat one."""
-    found = near_duplicates(docs, shingle, percent)
-    some = found.where("kept and n_shingles > 0").select("a", "b", F.col("doc_id").alias("_id")).distinct()
-    whole = docs.withColumn("_fp", fingerprint()).withColumn("_a", F.col("_fp.a")).withColumn("_b", F.col("_fp.b")).drop("_fp")
-    full = whole.join(some, (F.col("_a") == some["a"]) & (F.col("_b") == some["b"]) & docs["doc_id"].eqNullSafe(some["_id"]), "left_semi").dropDuplicates(["_a", "_b"])
-    blank = found.where("n_shingles = 0").select("a", "b").distinct()
-    empty = whole.join(blank, (F.col("_a") == blank["a"]) & (F.col("_b") == blank["b"]), "left_semi")
-    return full.unionByName(empty).select(*docs.columns)
+    """docs without near-duplicates: of each component the row of the smallest doc_id stays. Rows with equal doc_id and text are one; rows without a word stay."""
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_n", F.col("doc_id").isNull())
+
+    keys = ["_d", "_n", "_a", "_b"]  # copies of a text lie apart by their ids
+    found = near_duplicates(docs, shingle, percent).where("kept OR n_shingles = 0")
+    stay = keyed(found.withColumnsRenamed({"a": "_a", "b": "_b"})).select(*keys).distinct()
+    whole = keyed(docs.withColumn("_fp", fingerprint()).withColumn("_a", F.col("_fp.a")).withColumn("_b", F.col("_fp.b")))
+    return whole.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
