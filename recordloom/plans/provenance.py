@@ -13,9 +13,9 @@ W = "WITH " + REFERENCES
 PRESENCE = W + ", t AS (SELECT *, lag(op) OVER (PARTITION BY hash, collection, type, id ORDER BY seq, op) AS b FROM refs), u AS (SELECT * FROM t WHERE op <> coalesce(b, '-')), iv AS (SELECT * FROM (SELECT hash, collection, type, id, seq AS from_seq, lead(seq) OVER (PARTITION BY hash, collection, type, id ORDER BY seq, op) AS to_seq, op FROM u) WHERE op = '+')"
 
 
-@query("G1_events_of_hash", W + " SELECT hash, collection, type, id, seq, op FROM refs WHERE hash < '1'")
+@query("G1_events_of_hash", W + " SELECT hash, collection, type, id, seq, op FROM refs")
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return P.events_of(references(spark, sf), F.col("hash") < "1").select("hash", "collection", "type", "id", "seq", "op")
+    return P.events_of(references(spark, sf), F.col("hash").isNotNull()).select("hash", "collection", "type", "id", "seq", "op")
 
 
 @query("A16_presence", PRESENCE + " SELECT hash, collection, type, id, from_seq, to_seq FROM iv")
@@ -58,8 +58,8 @@ def file_references(spark: SparkSession, sf: str) -> DataFrame:
     return P.reference_counts(d.select(F.col("doc_id").alias("record"), F.array("source", "lang", "source").alias("files")))
 
 
-@query("J18_resolve_links", W + ", l AS (SELECT seq AS src, hash, CASE WHEN seq % 2 = 0 THEN collection END AS collection FROM base WHERE seq % 3 = 0), t AS (SELECT DISTINCT hash, collection AS \"at\", type, id FROM base) SELECT src, l.hash, \"at\", t.type, t.id FROM l LEFT JOIN t ON l.hash = t.hash AND (l.collection IS NULL OR l.collection = \"at\")")
+@query("J18_resolve_links", W + ", l AS (SELECT seq AS src, hash, CASE WHEN seq % 2 = 0 THEN collection END AS collection FROM base), t AS (SELECT DISTINCT hash, collection AS \"at\", type, id FROM base) SELECT src, l.hash, \"at\", t.type, t.id FROM l LEFT JOIN t ON l.hash = t.hash AND (l.collection IS NULL OR l.collection = \"at\")")
 def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
     r = references(spark, sf).where("op = '+'")
-    links = r.where("seq % 3 = 0").select(F.col("seq").alias("src"), "hash", F.when(F.col("seq") % 2 == 0, F.col("collection")).alias("collection"))
+    links = r.select(F.col("seq").alias("src"), "hash", F.when(F.col("seq") % 2 == 0, F.col("collection")).alias("collection"))
     return P.resolve(links, r.select("hash", "collection", "type", "id").distinct()).select("src", "hash", F.col("at"), "type", "id")

@@ -122,10 +122,10 @@ def shifted_marks(spark: SparkSession, sf: str) -> DataFrame:
     return L.shifted(marks, changed)
 
 
-@query("M22_layered_values", W + ', k AS (SELECT DISTINCT id FROM E WHERE CAST(id AS INTEGER) % 4 = 0) SELECT id AS key, hash AS value FROM (SELECT id, hash, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM E WHERE hash IS NOT NULL AND id IN (SELECT id FROM k)) WHERE n = 1')
+@query("M22_layered_values", W + ', k AS (SELECT DISTINCT id FROM E) SELECT id AS key, hash AS value FROM (SELECT id, hash, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM E WHERE hash IS NOT NULL AND id IN (SELECT id FROM k)) WHERE n = 1')
 def layered(spark: SparkSession, sf: str) -> DataFrame:
     e = entries(spark, sf).where("hash IS NOT NULL").select(F.col("seq").alias("layer"), F.col("id").alias("key"), F.col("hash").alias("value"))
-    return L.layered_values(e, e.where("cast(key as int) % 4 = 0"))
+    return L.layered_values(e, e)
 
 
 @query("M26_sweepable", "SELECT o_orderkey AS object FROM orders WHERE o_orderkey % 9 + 3 <= 8 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 2 = 0)")
