@@ -130,3 +130,15 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, prefix: int = PR
 
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Cosines of all pairs, and reachability.
+OP7_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT r, v FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM f a JOIN f b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+n AS (SELECT x AS r, count(*) AS n FROM l GROUP BY x),
+t(r, y) AS (SELECT r, r FROM e UNION SELECT t.r, l.y FROM t JOIN l ON t.y = l.x),
+c AS (SELECT t.r, min(e.vec_id) AS component_id FROM t JOIN e ON e.r = t.y GROUP BY t.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP10_SQL, op10_decontamination
 from .lines import op8_lines
-from .minhash import op5_minhash
+from .minhash import OP5_SQL, op5_minhash
 from .packing import op1_packing
 from .personal import op6_personal
-from .pivots import op7_pivots
+from .pivots import OP7_SQL, op7_pivots
 from .sharding import op9_sharding
 from .substrings import OP3_SQL, op3_substrings
 from .toxicity import op4_toxicity
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_minhash": OP5_SQL, "op7_pivots": OP7_SQL, "op10_decontamination": OP10_SQL}
