@@ -83,3 +83,14 @@ def test_cells(spark):
     assert cells.like_literal("5%_") == "%5\\%\\_%"
     assert [r[0] for r in df.select(cells.coerce(df["b"], "boolean")).collect()] == ["true", "false"]
     assert json.loads(json.dumps(cells.PREVIEW)) == 200
+
+
+def test_schemas_that_are_refused():
+    from recordloom.functions.schemas import check_schema, column_order, unsafe_pattern
+
+    assert unsafe_pattern("(a+)+") and unsafe_pattern("(a|b*)*c") and unsafe_pattern("x" * 300) and unsafe_pattern("(")
+    assert not unsafe_pattern("(a{1,3})+") and not unsafe_pattern("[a+]*b+")
+    assert check_schema({"properties": {"a": {"pattern": "(a*)*"}, "b": {"$ref": "#/nowhere"}, "c": {"private": True}}}) == ["/properties/a: pattern", "/properties/b: reference", "/properties/c: private field"]
+    assert check_schema({"$ref": "#/definitions/x", "definitions": {"x": {}}}) == []
+    assert column_order({"properties": {"d": {}, "c": {}, "b": {}, "a": {}}, "propertyOrder": ["c"], "required": ["b"]}) == ["c", "b", "a", "d"]
+    assert column_order({}, ["z", "a", "z"]) == ["a", "z"]
