@@ -130,23 +130,26 @@ def components(nodes_edges: DataFrame, rounds: int = 60) -> DataFrame:
     node that it reaches. Each star is a minimum per node (combined before the shuffle, and cut, so that a join with a hub's
     many edges can be split) joined back to the edges; no task gathers a node's neighbours.
     """
-    spark = nodes_edges.sparkSession
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
-    def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+    def small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = e.join(least, "u")
-        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        return out, least
 
     e = cut(nodes_edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
-        last, e = e, cut(small(large(e)), "stars")
-        drop(last)
+        wide, hubs = large(e)
+        wide = cut(wide, "stars")
+        narrow, hubs2 = small(wide)
+        last, e = e, cut(narrow, "stars")
+        drop(last, wide, hubs, hubs2)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -260,7 +260,7 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     """Signatures of nodes, and (node, component) of nodes that link with another."""
     signs = cut(signatures(texts, shingle), "signatures")
     keys = signs.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1"), "buckets")
     members = cut(keys.join(shared, "key"), "members")
     pairs = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     close = cut(agreeing(pairs, signs, percent), "agreeing")
@@ -269,10 +269,10 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     drop(close, links)
 
     of = members.join(joined, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = cut(of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
     sized = signs.select("node", "n_shingles", "sig")
     edges = cut(perhaps(of.join(mixed, "key", "left_semi").join(sized, "node"), percent), "perhaps")
-    drop(members)
+    drop(members, shared, mixed)
     families = components(edges.unionByName(stars(joined))).withColumnRenamed("component", "family")
     inside = cut(families.join(joined, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")).join(sized, "node"), "families")
     several = inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi")
@@ -313,3 +313,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Sets and links of all pairs that share a shingle, and reachability.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+t(r, y) AS (SELECT r, r FROM d UNION SELECT t.r, l.y FROM t JOIN l ON t.y = l.x),
+c AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.y GROUP BY t.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
