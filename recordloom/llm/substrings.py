@@ -199,10 +199,10 @@ def search(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """node, start, n, mask of segments with repeated windows. texts: node, copies, text, bucketed by node."""
     cuts = segments(texts, window)
-    often = cuts.groupBy("m").agg(F.sum("copies").alias("c")).where("c > 1").select("m")
+    often = cut(cuts.groupBy("m").agg(F.sum("copies").alias("c")).where("c > 1").select("m"), "often")  # cut, so that the join of a common one can be split
     met = cut(cuts.join(often, "m", "left_semi"), "segments")
     kinds = cut(met.groupBy("m", "seg", "n").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "start")).alias("at")), "kinds")
-    mixed = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("m", "kinds")
+    mixed = cut(kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("m", "kinds"), "mixed")
     wanted = kinds.join(mixed, "m").select("m", "seg", "n", "copies", "kinds", F.col("at.node").alias("node"), F.col("at.start").alias("start"))
     lists = wanted.groupBy("node").agg(F.collect_list(F.struct("m", "seg", "n", "copies", "kinds", "start")).alias("wanted"))  # at most a text's segments
 
