@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
+_bases: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-        _made.append((spark, base))
+        _bases.append((spark, base))
     return base.rstrip("/")
 
 
@@ -52,7 +53,7 @@ def remove(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _tidy() -> None:
     """Tables cut during the session go when the driver ends."""
-    for spark, path in _made:
+    for spark, path in [*_made, *_bases]:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended first

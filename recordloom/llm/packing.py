@@ -35,12 +35,12 @@ VOCABULARY = "word_bpe_49k.json"
 RANGES = 8
 #: Units whose ids a worker remembers; about 150 bytes each.
 REMEMBERED = 1_200_000
-#: 0 white space, 1 letters, 2 digits, 3 marks, 4 what the bytes alone do not tell (an apostrophe may begin a unit of letters).
+#: 0 white space, 1 letters, 2 digits, 3 marks, 4 what a byte alone does not tell.
 KINDS = np.full(256, 3, np.uint8)
 KINDS[[0x20, *range(0x09, 0x0E)]] = 0
 KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
 KINDS[0x30:0x3A] = 2
-KINDS[[0x27, *range(0x80, 0xC3), *range(0xC4, 0x100)]] = 4
+KINDS[[*range(0x80, 0xC3), *range(0xC4, 0x100)]] = 4
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,8 +52,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Units(Words):
     """What the tokenizer cuts texts into before it merges: runs of letters, single digits, runs of marks; lower-cased.
 
-    Only for texts of ASCII (without apostrophes) and accented Latin letters, whose units follow from their bytes; plain
-    tells which texts are.
+    Only for texts of ASCII and accented Latin letters, whose units follow from their bytes; plain tells which texts are.
     """
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
@@ -72,10 +71,23 @@ class Units(Words):
         turn[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         turn |= edge
         self.data, self.off = data, off
-        self.starts = np.flatnonzero(turn[:-1] & (kind != 0))
-        self.ends = np.flatnonzero(turn[1:] & (kind != 0)) + 1
-        self.first = np.searchsorted(self.starts, off)
-        self.letters = kind[self.starts] == 1
+        starts = np.flatnonzero(turn[:-1] & (kind != 0))
+        ends = np.flatnonzero(turn[1:] & (kind != 0)) + 1
+        letters = kind[starts] == 1
+        # a lone apostrophe takes the short endings that may follow it
+        lone = np.flatnonzero((ends[:-1] - starts[:-1] == 1) & (data[starts[:-1]] == 0x27) & letters[1:] & (ends[:-1] == starts[1:]) & ~edge[starts[1:]])
+        if len(lone):
+            c = data[starts[lone + 1]]
+            two = ends[lone + 1] - starts[lone + 1] > 1
+            d = data[np.minimum(starts[lone + 1] + 1, n - 1)]
+            long = two & (((c == 0x72) | (c == 0x76)) & (d == 0x65) | (c == 0x6C) & (d == 0x6C))
+            taken = np.where(np.isin(c, [0x73, 0x74, 0x6D, 0x64]), 1, np.where(long, 2, 0))
+            ends[lone] += taken
+            starts[lone + 1] += taken
+            on = starts < ends
+            starts, ends, letters = starts[on], ends[on], letters[on]
+        self.starts, self.ends, self.letters = starts, ends, letters
+        self.first = np.searchsorted(starts, off)
         self.plain = np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(odd)))[off]) == 0
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -66,6 +67,14 @@ def test_units_equal_the_library():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
 
 
+def test_units_of_random_texts():
+    r = random.Random(6)
+    parts = ["'", "'", "s", "t", "re", "ve", "ll", "d", "m", "l", "r", " ", "A", "é", "É", "1", ",", "-", "''", "x", "\n", "ß", "\x1c", "\u2019", "e\u0301"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(4000)]
+    got = list(packing.word_ids(packing.vocabulary_path())(pa.array(texts)))
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
 def test_plans_of_many_shapes(spark):
     r = np.random.default_rng(1)
     for sizes in (r.integers(1, 60, 3000), r.integers(1200, 1500, 2000), np.full(999, 4096), np.full(5000, 7), r.integers(1, 4097, 2000)):
