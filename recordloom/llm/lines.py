@@ -80,7 +80,7 @@ def _chunk_rows(texts: DataFrame) -> DataFrame:
 def repeated_chunks(texts: DataFrame) -> DataFrame:
     """(row, place) of chunks that an earlier one equals. texts: the row number, doc_id, text."""
     found = _chunk_rows(texts)
-    twice = found.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
+    twice = cut(found.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g"), "twice")  # cut, so that the join of a common one can be split
     lists = found.join(twice, ["h", "g"], "left_semi").groupBy(ROW).agg(F.collect_list("place").alias("places"))  # at most a text's chunks
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField(ROW, T.LongType()), texts.schema["doc_id"], T.StructField("place", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
     raw = cut(texts.join(lists, ROW).select(ROW, "doc_id", "text", "places").mapInArrow(fetch, schema), "chunks")
-    first = raw.groupBy("h", "g", "bytes").agg(F.min(F.struct("doc_id", ROW, "place")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = cut(raw.groupBy("h", "g", "bytes").agg(F.min(F.struct("doc_id", ROW, "place")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
     return raw.join(first, ["h", "g", "bytes"]).where((F.col(ROW) != F.col(f"first.{ROW}")) | (F.col("place") != F.col("first.place"))).select(ROW, "place")
 
 
