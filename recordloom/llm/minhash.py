@@ -304,7 +304,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         return rows.withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_n", F.col("doc_id").isNull())
 
     keys = ["_d", "_n", "_a", "_b"]  # copies of a text lie apart by their ids
-    found = near_duplicates(docs, shingle, percent).where("kept OR n_shingles = 0")
+    found = cut(near_duplicates(docs, shingle, percent).where("kept OR n_shingles = 0"), "kept")  # cut, so that the join of a text's many copies can be split
     stay = keyed(found.withColumnsRenamed({"a": "_a", "b": "_b"})).select(*keys).distinct()
     whole = keyed(docs.withColumn("_fp", fingerprint()).withColumn("_a", F.col("_fp.a")).withColumn("_b", F.col("_fp.b")))
     return whole.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
