@@ -1,14 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by overlapping chunks of lines.
 
-A chunk ends after a line where a rolling hash over the last ROLL line hashes is divisible by DIVISOR, once it has LEAST
-lines, and after MOST lines at the latest; so an inserted line moves the boundaries near it only. Of chunks of LEAST lines
-or more that occur repeatedly anywhere, the first by (doc_id, row, place) stays and the others go. Chunks are counted by a
-128-bit hash; those met twice are fetched and compared by their bytes.
+A chunk is any LEAST lines that follow each other in a text: one begins at every line that has LEAST - 1 lines behind it,
+whatever precedes it, so a passage has the same chunks wherever it stands, from its first line to its last. Of chunks that
+occur repeatedly anywhere, the first by (doc_id, row, place) stays; lines that lie in another one go. So every later
+occurrence of a run of LEAST lines or more goes whole, and the first occurrence of a line always stays, though its neighbours
+may go with a passage of their own. Chunks are counted by a 128-bit hash; those met twice are fetched and compared by their
+bytes.
 
 Defined results: lines are runs between line feeds, and empty lines belong to the line before them; null and empty texts
-have no lines and stay as they are; texts that lose all chunks become empty and their rows stay; of rows that repeat one
-keeps its chunks; null doc_ids come first; an empty table gives an empty result; other columns are kept, and n_chars, if
-there, follows a changed text.
+have no lines and stay as they are; texts of fewer than LEAST lines stay; texts that lose all lines become empty but for
+line feeds before the first, and their rows stay; of rows that repeat one keeps its chunks; null doc_ids come first; an
+empty table gives an empty result; other columns are kept, and n_chars, if there, follows a changed text.
 """
 
 from __future__ import annotations
@@ -22,45 +24,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, cut_by, table, tuned
-from .textscan import Words, chunks, mix, powers
+from .textscan import Words, chunks, mix
 
-ROLL = 2
-DIVISOR = 2
 LEAST = 2
-MOST = 8
 _U = np.uint64
 FEEDS = np.arange(256) == 10
 ROW = "__loom_row"
 
 
 def line_chunks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line and end line of each chunk of LEAST lines or more, and its two hashes, in text order."""
+    """First line and end line of each chunk, and its two hashes, in text order."""
     h = w.hash
-    last = mix(h)
-    for k in range(1, ROLL):
-        earlier = np.zeros(len(h), _U)
-        earlier[k:] = np.where(w.doc[k:] == w.doc[:-k], h[:-k], _U(0))
-        last = mix(last * _U(3) + earlier)
-    ends = last % _U(DIVISOR) == 0
-    spans: list[tuple[int, int]] = []
-    marks = ends.tolist()
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        start = a
-        for i in range(a, b):
-            n = i + 1 - start
-            if n == MOST or i + 1 == b or (n >= LEAST and marks[i]):
-                if n >= LEAST:
-                    spans.append((start, i + 1))
-                start = i + 1
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-    first, end = np.array(spans).T
-    p, q = powers(len(h) + 1)
-    both = []
-    for x in (h, mix(h + _U(0x5EED))):
-        c = np.concatenate((np.zeros(1, _U), np.cumsum(x * p[: len(h)])))
-        both.append(mix((c[end] - c[first]) * q[first] + (end - first).astype(_U)).view(np.int64))
-    return first, end, np.array(both)
+    first = np.flatnonzero(w.whole(LEAST))
+    both = np.array([w.runs(x, LEAST)[first].view(np.int64) for x in (h, mix(h + _U(0x5EED)))])
+    return first, first + LEAST, both
+
+
+def _listed(lists: pa.Array, a: int, b: int, w: Words) -> np.ndarray:
+    """Lines of w where chunks begin, from lists of places of rows a to b; w holds those rows' texts."""
+    part = lists.slice(a, b - a)
+    doc = np.repeat(np.arange(b - a), part.value_lengths().fill_null(0).to_numpy())
+    return np.sort(w.first[doc] + part.flatten().to_numpy())
 
 
 def _chunk_rows(texts: DataFrame) -> DataFrame:
@@ -86,13 +70,12 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.asarray(batch.column(0))
-            wanted = batch.column(3).to_pylist()
-            for a, _, data, off in chunks(batch.column(2)):
+            for a, b, data, off in chunks(batch.column(2)):
                 w = Words(data, off, separators=FEEDS)
                 first, end, h = line_chunks(w)
+                on = np.searchsorted(first, _listed(batch.column(3), a, b, w))
                 doc = w.doc[first]
                 place = first - w.first[doc]
-                on = np.array([p in s for p, s in zip(place.tolist(), map({d: set(wanted[a + d]) for d in set(doc.tolist())}.__getitem__, doc.tolist()), strict=True)], bool)
                 raw = [data[s:e].tobytes() for s, e in zip(w.starts[first[on]], w.ends[end[on] - 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[0][on]), pa.array(h[1][on]), pa.array(rows[a + doc[on]]), batch.column(1).take(pa.array(a + doc[on])), pa.array(place[on].astype(np.int32)), pa.array(raw, pa.binary())], names=["h", "g", ROW, "doc_id", "place", "bytes"])
 
@@ -114,27 +97,25 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
-            gone = cols.pop().to_pylist()
+            gone = cols.pop()
             new = cols[at].to_pylist()
             sizes = None if counted is None else cols[counted].to_pylist()
             lines, lost = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for a, b, data, off in chunks(cols[at]):
                 w = Words(data, off, separators=FEEDS)
                 lines[a:b] = np.diff(w.first)
-                some = [d for d in range(b - a) if gone[a + d]]
-                if not some:
+                begin = _listed(gone, a, b, w)
+                if not len(begin):
                     continue
-                first, end, _ = line_chunks(w)
-                for d in some:
-                    mine = slice(np.searchsorted(first, w.first[d]), np.searchsorted(first, w.first[d + 1]))
-                    keep, text_end, left = [], int(off[d + 1]), int(off[d])
-                    doomed = set(gone[a + d])
-                    for f, e in zip(first[mine].tolist(), end[mine].tolist(), strict=True):
-                        if f - w.first[d] in doomed:
-                            keep.append(data[left : w.starts[f]].tobytes())
-                            left = int(w.starts[e]) if e < w.first[d + 1] else text_end
-                            lost[a + d] += e - f
-                    new[a + d] = b"".join([*keep, data[left:text_end].tobytes()]).decode()
+                out = np.zeros(len(w) + 1, bool)
+                for k in range(LEAST):
+                    out[begin + k] = True
+                for d in np.unique(w.doc[begin]).tolist():
+                    f, e = int(w.first[d]), int(w.first[d + 1])
+                    edges = np.flatnonzero(np.diff(out[f:e].astype(np.int8), prepend=0, append=0)) + f
+                    cuts = [int(off[d]), *(int(w.starts[x]) if x < e else int(off[d + 1]) for x in edges.tolist()), int(off[d + 1])]
+                    new[a + d] = b"".join(data[x:y].tobytes() for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+                    lost[a + d] = out[f:e].sum()
                     if sizes is not None:
                         sizes[a + d] = len(new[a + d])
             cols[at] = pa.array(new, cols[at].type)

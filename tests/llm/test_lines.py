@@ -63,3 +63,51 @@ def test_boundaries_shift_with_inserted_lines():
 
 def test_empty_table(spark):
     assert lines.dedup_lines(frame(spark, [])).collect() == []
+
+
+def split_lines(text):
+    """Byte ranges of a text's lines with the empty ones behind them; made without line_chunks."""
+    raw, at, out = text.encode(), 0, []
+    for part in raw.split(b"\n"):
+        if part:
+            out.append((at, at + len(part)))
+        at += len(part) + 1
+    return raw, out
+
+
+def later_runs(rows):
+    """rows (order, text): (row, first line, end line) of each longest run of two or more whole lines whose bytes occur earlier."""
+    seen, found = set(), []
+    for n, t in sorted(rows):
+        raw, at = split_lines(t)
+        i = 0
+        while i < len(at):
+            j = i
+            while j < len(at) and (j == i or raw[at[i][0] : at[j][1]] in seen):
+                j += 1
+            if j - i >= 2:
+                found.append((n, i, j))
+            i = max(i + 1, j - 1 if j - i >= 2 else 0)
+        seen |= {raw[at[i][0] : at[j][1]] for i in range(len(at)) for j in range(i + 1, len(at))}
+    return found
+
+
+def test_recall_of_repeated_runs(spark):
+    r = random.Random(9)
+    passages = [[sentence(r, 12) for _ in range(n)] for n in (2, 3, 4, 5, 6, 9)]
+    rows = []
+    for n in range(60):
+        body = [sentence(r, 7) for _ in range(r.randrange(2, 9))]
+        at = r.randrange(len(body) + 1)
+        rows.append((n, "\n".join(body[:at] + passages[n % 6] + body[at:]), "en", "s", 0))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, rows, clash=False)).collect()}
+    runs = later_runs([(n, t) for n, t, *_ in rows])
+    assert len(runs) == 54
+    gone = 0
+    for n, f, e in runs:
+        kept = set(got[n].split("\n"))
+        raw, at = split_lines(rows[n][1])
+        gone += not any(raw[a:b].decode() in kept for a, b in at[f:e])
+    assert gone == len(runs)  # recall 1.0
+    assert {x for _, t, *_ in rows for x in t.split("\n")} == {x for t in got.values() for x in t.split("\n") if x}  # no line is lost
+    assert sum(len(split_lines(t)[1]) for t in got.values()) == sum(len(split_lines(t)[1]) for _, t, *_ in rows) - sum(e - f for _, f, e in runs)
