@@ -39,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from texts; all documents stay."""
+    """Repeated chunks of lines go from texts; all documents stay until decontaminate, which drops those emptied here."""
     return lines.dedup_lines(docs)
 
 
@@ -51,8 +51,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of test items go from texts; documents that are mostly test items go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Passages of test items go from texts; documents that are mostly test items go, and those that line dedup has emptied."""
+    return decontamination.clean(lines.without_emptied(docs, table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 @stage

@@ -126,6 +126,14 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     return rows.join(gone, ROW, "left").select(*docs.columns, "__gone").mapInArrow(run, schema)
 
 
+def without_emptied(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """docs without those that have lost all lines. Null texts stay, and those of ids that have a text without lines in given, where docs come from."""
+    bare = F.translate("text", "\n", "") == ""
+    were = given.where(bare).select(F.col("doc_id").alias("__id")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.where(F.coalesce(~bare, F.lit(True))).unionByName(docs.where(bare).join(were, same, "left_semi"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -111,3 +111,11 @@ def test_recall_of_repeated_runs(spark):
     assert gone == len(runs)  # recall 1.0
     assert {x for _, t, *_ in rows for x in t.split("\n")} == {x for t in got.values() for x in t.split("\n") if x}  # no line is lost
     assert sum(len(split_lines(t)[1]) for t in got.values()) == sum(len(split_lines(t)[1]) for _, t, *_ in rows) - sum(e - f for _, f, e in runs)
+
+
+def test_without_emptied(spark):
+    given = frame(spark, [(1, "a\nb", "", "", 0), (2, "", "", "", 0), (3, None, "", "", 0), (None, "\n", "", "", 0), (5, "\nc\nd", "", "", 0), (6, " \n", "", "", 0)])
+    docs = frame(spark, [(1, "", "", "", 0), (2, "", "", "", 0), (3, None, "", "", 0), (None, "\n", "", "", 0), (5, "\n", "", "", 0), (6, " \n", "", "", 0), (7, "e", "", "", 0)])
+    out = lines.without_emptied(docs, given)
+    assert out.schema == docs.schema
+    assert {x["doc_id"] for x in out.collect()} == {2, 3, None, 6, 7}

@@ -36,3 +36,18 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_copies_of_several_lines_do_not_reach_packing(spark):
+    docs = table(spark, SF, "documents")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = cut(stage(spark, out, SF), name)
+    given = {r["doc_id"]: r["text"] for r in docs.collect()}
+    left = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all((t or "").strip("\n") or not (given[d] or "").strip("\n") for d, t in left.items())
+    first, copies = {}, set()
+    for d in sorted(given):
+        if given[d] and "\n" in given[d].strip("\n") and first.setdefault(given[d], d) != d:
+            copies.add(d)
+    assert copies and not copies & left.keys()
