@@ -38,6 +38,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({]\s*at\s*[\])}]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({]\s*dot\s*[\])}]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
+_AT = re.compile(r"@|[\[({]\s*at\s*[\])}]|(?<=\s)at(?=\s)", re.I)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _GROUPS = re.compile(r"\(?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,24}")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,12 +82,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def spelt(text: str) -> list[tuple[int, int]]:
+    """What _SPELT finds, looked for only where an @ or at stands."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        a = m.start()
+        while a > end and text[a - 1].isspace():
+            a -= 1
+        while a > end and text[a - 1] in _NAME:
+            a -= 1
+        found = _SPELT.match(text, a) if m.start() >= end else None
+        if found:
+            end = found.end()
+            out.append((a, end))
+    return out
+
+
 def candidates(text: str) -> set[tuple[str, int, int]]:
     """Overlapping spans of every kind that they may be."""
     out = {("email", a, b) for a, b in emails(text)}
-    lower = text.lower()
-    if "dot" in lower or "(at" in lower or "[at" in lower or "{at" in lower:
-        out |= {("email", m.start(), m.end()) for m in _SPELT.finditer(text)}
+    out |= {("email", a, b) for a, b in spelt(text)}
     if "." in text:
         out |= {("ip", m.start(), m.end()) for m in _IP.finditer(text)}
     for m in _GROUPS.finditer(text):
@@ -120,7 +136,7 @@ def altered(text: str, kind: str, a: int, b: int, draw: np.random.Generator) ->
     """A base match written otherwise, in its own context."""
     s = text[a:b]
     if kind == "email":
-        at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot ")][draw.integers(3)]
+        at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", "."), (" [ at ] ", "."), (" @ ", " . ")][draw.integers(6)]
         name, _, domain = s.partition("@")
         new = name + at + domain.replace(".", dot)
     elif kind == "card":

@@ -79,3 +79,13 @@ def test_digest_of_the_query(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in personal.KINDS] == [sum(s[0] == k for s in spans) for k in personal.KINDS]
         assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r["spans"].split(",")) | {""}
+
+
+def test_spelt_addresses_need_no_dot_word():
+    for address in ("jane.doe at example.com", "jane.doe [ at ] example.com", "jane.doe @ example . com", "jane.doe(at)example.com", "jane.doe at example dot com"):
+        text = f"write to {address}, please"
+        assert ("email", 9, 9 + len(address)) in personal.candidates(text)
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "b.c", "at", " ", "  ", "@", "(", "]", "[", ")", ".", "dot", "-", ",", "AT", "\u00a0", "\n"]) for _ in range(r.randrange(30)))
+        assert personal.spelt(text) == [m.span() for m in personal._SPELT.finditer(text)]
