@@ -9,8 +9,9 @@ follows the square root of the rows, which keeps lists short.
 A list of many vectors is dealt to blocks, and a task returns a count and a root for each of its rows, never its pairs.
 Recall against brute force is tested to be 0.9 at least; no pair below the threshold is linked.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most, link
-with nothing; rows that repeat link with each other; a null vec_id counts as a vector, and a component without any other
+Vectors of each length have their own pivots and lists, as only those of equal length can link.
+
+Defined results: vectors that are null, zero or hold null or non-finite components link with nothing; rows that repeat link with each other; a null vec_id counts as a vector, and a component without any other
 id has a null id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -64,30 +65,31 @@ def choose_pivots(vectors: DataFrame, size: int, n: int) -> np.ndarray:
     return np.concatenate((x[kept], more / np.linalg.norm(more, axis=1, keepdims=True)))
 
 
-def permutations(vectors: DataFrame, size: int, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
-    """node, unit vector, prefix (its nearest pivots, ascending) and keys (pairs of them) of vectors that can link."""
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
+def permutations(vectors: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PREFIX) -> DataFrame:
+    """node, unit vector, prefix (its nearest pivots, ascending) and keys (its length and pairs of them) of vectors that can link. pivots: by length."""
+    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors of a length
     pairs = np.array(list(combinations(range(prefix), 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, x = matrix(batch.column(1), size)
-            near = np.sort(np.argpartition(-(x @ sent.value.T), prefix - 1, axis=1)[:, :prefix], axis=1)
-            keys = (near[:, pairs[:, 0]] << 16) + near[:, pairs[:, 1]]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(pairs)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in near.astype(np.int32)], pa.binary()), lists], names=["node", "vector", "prefix", "keys"])
+            for size in sorted(set(batch.column(1).value_lengths().to_pylist()) & sent.value.keys()):
+                rows, x = matrix(batch.column(1), size)
+                near = np.sort(np.argpartition(-(x @ sent.value[size].T), prefix - 1, axis=1)[:, :prefix], axis=1)
+                keys = (size << 32) + (near[:, pairs[:, 0]] << 16) + near[:, pairs[:, 1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(pairs)), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in near.astype(np.int32)], pa.binary()), lists], names=["node", "vector", "prefix", "keys"])
 
     return vectors.select("node", "embedding").mapInArrow(run, "node long, vector binary, prefix binary, keys array<long>")
 
 
-def links(members: DataFrame, size: int, prefix: int = PREFIX, cosine: float = COSINE) -> DataFrame:
+def links(members: DataFrame, prefix: int = PREFIX, cosine: float = COSINE) -> DataFrame:
     """members (key, size, node, vector, prefix) -> node, links (found in this list), root (least row it reaches in this list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["key", "p", "q"]):
             i, node = t["i"].to_numpy(), t["node"].to_numpy()
             key, p, q = (t[x][0].as_py() for x in ("key", "p", "q"))
-            x = np.frombuffer(b"".join(t["vector"].to_pylist())).reshape(-1, size)
+            x = np.frombuffer(b"".join(t["vector"].to_pylist())).reshape(-1, key >> 32)
             near = np.frombuffer(b"".join(t["prefix"].to_pylist()), np.int32).reshape(-1, prefix)
             left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
             u, v = np.nonzero(x[left] @ x[right].T >= cosine)
@@ -99,7 +101,7 @@ def links(members: DataFrame, size: int, prefix: int = PREFIX, cosine: float = C
             shared = (near[u][:, :, None] == near[v][:, None, :]).any(2)
             first = shared.argmax(1)
             shared[np.arange(len(u)), first] = False
-            own = near[u, first].astype(np.int64) << 16 | near[u, shared.argmax(1)]
+            own = key >> 32 << 32 | near[u, first].astype(np.int64) << 16 | near[u, shared.argmax(1)]
             n = np.bincount(u[own == key], minlength=len(t)) + np.bincount(v[own == key], minlength=len(t))
             least = forest(u, v, len(t))
             some = np.flatnonzero((n > 0) | (least != np.arange(len(t))))
@@ -113,14 +115,13 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, prefix: int = PR
     """vec_id, n_links, component_id, kept for every row."""
     spark = tuned(embeddings.sparkSession)
     vectors = cut(embeddings.select("vec_id", "embedding").withColumn("node", F.monotonically_increasing_id()), "vectors")
-    sizes = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
-    size, n = (sizes["s"], sizes["count"]) if sizes else (1, 0)
-    wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(max(1, n)) / 2)))
-    described = cut(permutations(vectors, size, choose_pivots(vectors, size, wanted), prefix), "permutations")
+    sizes = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("s")).count().where("count > 1").collect()  # a row for each length
+    wanted = {r["s"]: min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(r["count"]) / 2))) for r in sizes}
+    described = cut(permutations(vectors, {s: choose_pivots(vectors, s, n) for s, n in wanted.items()}, prefix), "permutations")
     keys = described.select("node", F.explode("keys").alias("key"))
     lists = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = described.select("node", "vector", "prefix", F.explode("keys").alias("key")).join(lists, "key")
-    found = cut(links(members, size, prefix, cosine), "links")
+    found = cut(links(members, prefix, cosine), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     of = vectors.select("node", "vec_id").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

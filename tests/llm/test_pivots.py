@@ -69,3 +69,11 @@ def test_recall_on_the_given_vectors(spark):
 
 def test_empty_table(spark):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_each_length_links(spark):
+    r = np.random.default_rng(4)
+    rows = [(n, r.normal(size=24).tolist()) for n in range(12)] + [(n, [1.0, 2.0, 3.0 * (n % 2), 4.0, 5.0]) for n in range(20, 24)] + [(30, [1.0]), (31, [2.0]), (32, [-1.0]), (40, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in pivots.near_vectors(df).collect()}
+    assert {n: got[n] for n in (20, 21, 22, 23, 30, 31, 32, 40)} == {20: (1, 20), 21: (1, 21), 22: (1, 20), 23: (1, 21), 30: (1, 30), 31: (1, 30), 32: (0, 32), 40: (0, 40)}
