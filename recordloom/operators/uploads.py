@@ -14,23 +14,23 @@ from .write import carried_over, save
 Script = Callable[..., DataFrame]
 
 
-def invalid(records: DataFrame, schemas: dict[str, dict], limit: int = 20) -> DataFrame:
-    """The first records (type, id, data) that do not fit their type's schema; a type without a schema is a problem itself."""
+def invalid(records: DataFrame, schemas: dict[str, dict], limit: int | None = 20) -> DataFrame:
+    """The first records (type, id, data), or with no limit all, that do not fit their type's schema; a type without a schema is a problem itself."""
     parts = [records.where((F.col("type") == t) & ~valid(F.col("data"), s)).select(*KEY, F.lit("schema").alias("problem")) for t, s in schemas.items()]
     out = records.where(~F.col("type").isin(list(schemas)) & ~F.col("type").startswith("$")).select(*KEY, F.lit("no schema").alias("problem"))
     for p in parts:
         out = out.unionByName(p)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
-def check_upload(upload: DataFrame, head: DataFrame, before: dict[str, dict], after: dict[str, dict], limit: int = 20) -> tuple[DataFrame, str]:
+def check_upload(upload: DataFrame, head: DataFrame, before: dict[str, dict], after: dict[str, dict], limit: int | None = 20) -> tuple[DataFrame, str]:
     """Problems of an upload and the version bump that it asks for. Records that it does not replace are read again only under schemas that became tighter."""
     tighter = {t: s for t, s in after.items() if t in before and not relaxes(before[t], s)}
     old = carried_over(head.where(F.col("type").isin(list(tighter))), upload).select(*KEY, "data")
     problems = invalid(upload.where("kind = 'r'").select(*KEY, "data"), after, limit)
     problems = problems.unionByName(invalid(old, tighter, limit)) if tighter else problems
     bump = "major" if before != after else ("minor" if upload.head(1) else "patch")
-    return problems.limit(limit), bump
+    return problems if limit is None else problems.limit(limit), bump
 
 
 def run_script(script: Script, reads: list[DataFrame], head: DataFrame, mode: str = "set", types: list[str] | None = None, where: Column | None = None) -> DataFrame:
