@@ -8,11 +8,15 @@ over meets in one last sweep of leftovers. Then gaps are updated and the next ro
 a piece finds its place from its rank among the pieces of its length.
 
 Defined results: null and empty texts give one piece of the end id alone; rows that repeat are packed each for itself;
-an empty table gives an empty result; other columns of the input, whatever their names, are ignored.
+an empty table gives an empty result; other columns of the input, whatever their names, are ignored. Texts of any length are
+read whole, one at a time if they are long. Of pieces of equal length that of the lower rank (partition, then row) is placed
+first, so places of ties may differ between runs while sequences' fillings do not. The strings of a vocabulary's added tokens
+are those tokens where they stand in a text, as the library has it.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +40,10 @@ VOCABULARY = "word_bpe_49k.json"
 RANGES = 8
 #: Units whose ids a worker remembers; about 150 bytes each.
 REMEMBERED = 1_200_000
+#: What a vocabulary's file says of cutting if Units cuts as it does. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+SUFFIX = "</w>"
 #: 0 white space, 1 letters, 2 digits, 3 marks, 4 what a byte alone does not tell.
 KINDS = np.full(256, 3, np.uint8)
 KINDS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -95,7 +104,8 @@ class WordIds:
     """Ids of texts under a tokenizer that never joins across white space: each distinct unit is encoded once.
 
     New units of letters are encoded together, since each of them ends with its only token marked as a word's end. Texts
-    that are not plain are encoded whole.
+    that are not plain or hold the string of an added token are encoded whole, as are all texts under a vocabulary that cuts
+    otherwise than Units does.
     """
 
     def __init__(self, path: str):
@@ -105,10 +115,13 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        said = json.loads(self.tokenizer.to_str())
+        first = (said["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+        self.cuts = said["normalizer"] == NORMALIZER and first == SPLIT and said["model"].get("end_of_word_suffix") == SUFFIX
+        self.added = [(t["content"], t["normalized"]) for t in said["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(SUFFIX)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -147,8 +160,14 @@ class WordIds:
 
     def __call__(self, col: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.cuts:
+            for a in range(0, len(col), 64):
+                yield from (x.tobytes() for x in self.encode([t or "" for t in col.slice(a, 64).to_pylist()]))
+            return
         for a, b, data, off in chunks(col):
             u = Units(data, off)
+            for content, normalized in self.added:
+                u.plain &= ~np.asarray(pc.match_substring(col.slice(a, b - a).fill_null(""), content, ignore_case=normalized))
             if len(self.known) > REMEMBERED:
                 self.forget()
             hashes, where, which = np.unique(u.hash, return_index=True, return_inverse=True)

@@ -11,9 +11,8 @@ from .corpus import documents, frame
 
 
 def tokenizer():
-    t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    """As the library gives it."""
+    return Tokenizer.from_file(packing.vocabulary_path())
 
 
 def check(rows, docs, limit):
@@ -62,14 +61,28 @@ def test_empty_table(spark):
 
 
 def test_units_equal_the_library():
-    texts = ["It's don't İstanbul Σας naïve", "ÀÉÿ×÷ß À1b2 %%%a", "é́ Aé ﬁ½", "\x00\x7f a\x1cb", "'s 'T l'été", "", "a", "<|endoftext|>"] * 3
+    texts = ["It's don't İstanbul Σας naïve", "ÀÉÿ×÷ß À1b2 %%%a", "é́ Aé ﬁ½", "\x00\x7f a\x1cb", "'s 'T l'été", "", "a", "<|endoftext|>", "hello <|endoftext|> world", "A<|startoftext|>b <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é", "<|endoftext", None] * 3
     got = list(packing.word_ids(packing.vocabulary_path())(pa.array(texts)))
-    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_another_vocabulary_is_encoded_whole():
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    texts = ["It's one  Test\n42 naïve", "", None, "<|endoftext|> x", "b" * 300]
+    got = list(packing.WordIds(path)(pa.array(texts)))
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_a_text_of_a_megabyte():
+    text = " ".join(f"word{n} l'été {n % 97}" for n in range(60_000))
+    assert len(text) > 1 << 20
+    got = list(packing.word_ids(packing.vocabulary_path())(pa.array(["a b", text, "c"])))
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(["a b", text, "c"], add_special_tokens=False)]
 
 
 def test_units_of_random_texts():
     r = random.Random(6)
-    parts = ["'", "'", "s", "t", "re", "ve", "ll", "d", "m", "l", "r", " ", "A", "é", "É", "1", ",", "-", "''", "x", "\n", "ß", "\x1c", "\u2019", "e\u0301"]
+    parts = ["'", "'", "s", "t", "re", "ve", "ll", "d", "m", "l", "r", " ", "A", "é", "É", "1", ",", "-", "''", "x", "\n", "ß", "\x1c", "\u2019", "e\u0301", "<|endoftext|>", "<|startoftext|>"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(4000)]
     got = list(packing.word_ids(packing.vocabulary_path())(pa.array(texts)))
     assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
