@@ -4,31 +4,35 @@ Words are runs of letters, digits and non-ASCII bytes after lower-casing A-Z. Th
 item. A document's words stream through it; at each word the automaton gives the longest run ending there that some item
 holds. A run of WINDOW words or more, or a whole shorter item, is an occurrence, and its words are hit.
 
-Items are split over several automata of at most AUTOMATON_WORDS words (the size that is broadcast), through which
-documents stream in turn, so that more items mean more passes and not more memory. A longer item spans automata with
-WINDOW - 1 words of overlap.
+An automaton lies in flat arrays and holds at most AUTOMATON_WORDS words, which are at most 64 MB in a worker and are what
+is broadcast. More items make several automata; documents stream through each in a pass of its own, in which workers hold no
+other one, and the passes' findings are joined by row. A longer item spans automata with WINDOW - 1 words of overlap.
 
-Defined results: null and empty texts have no words and no hits; an item without words occurs nowhere; items that repeat
-each count; rows that repeat are each judged; empty tables give empty results or no hits; other columns are ignored by
-scan and kept by clean.
+Defined results: null and empty texts have no words and no hits; an item without words occurs nowhere; items with equal ids
+are one; items without an id count as one, which no list of ids names; rows that repeat are each judged; texts of any length
+are read whole; empty tables give empty results or no hits; other columns are ignored by scan and kept by clean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, tuned
+from .common import cut, spare, table, tuned
 
 WINDOW = 10
 #: Words in one automaton, and so the bound of what is broadcast at once.
-AUTOMATON_WORDS = 2_000_000
+AUTOMATON_WORDS = 250_000
 #: clean() drops a document with more than this share of its words hit.
 MAX_COVERAGE = 0.8
 _SEPARATOR = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -45,31 +49,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_TABLE).split() if text else []
 
 
-class Automaton:
-    """Generalised suffix automaton of items' words. next: transitions; link, size: suffix links and longest lengths."""
+class _Build:
+    """Generalised suffix automaton of runs of word numbers, while it grows. next: transitions; link, size: suffix links and longest lengths."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self, runs: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
-        runs = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for _, words in items]
+        self.link, self.size = array("i", [-1]), array("i", [0])
         for run in runs:
             last = 0
             for c in run:
                 last = self._extend(last, c)
-        #: items whose window (or whole short item) is the run of that length in a state
-        self.windows: dict[int, set] = {}
-        self.short: dict[int, tuple[int, set]] = {}
-        self.least = min((min(len(r), window) for r in runs if r), default=window)
-        for (item, _), run in zip(items, runs, strict=True):
-            state = length = 0
-            for n, c in enumerate(run, 1):
-                state, length = self.step(state, length, c)
-                if n >= window:
-                    self.windows.setdefault(self.suffix(state, window), set()).add(item)
-            if run and len(run) < window:
-                self.short.setdefault(self.suffix(state, len(run)), (len(run), set()))[1].add(item)
 
     def _new(self, size: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
@@ -100,13 +89,67 @@ class Automaton:
             self.link[new] = self._split(p, c)
         return new
 
+
+class Automaton:
+    """Generalised suffix automaton of items' words, in flat arrays: at most 2 states and 3 edges for each word.
+
+    root: the first state's edges by word; one_word, one_next: a state's first edge; more, more_next: further edges as sorted
+    numbers state * words + word.
+    """
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocabulary: dict[bytes, int] = {}
+        runs = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for _, words in items]
+        built = _Build(runs)
+        self.link, self.size, n = built.link, built.size, max(1, len(self.vocabulary))
+        self.root = array("i", [0]) * n
+        for c, to in built.next[0].items():
+            self.root[c] = to
+        self.one_word, self.one_next = array("i", [-1]) * len(self.size), array("i", [0]) * len(self.size)
+        rest = []
+        for state, edges in enumerate(built.next[1:], 1):
+            for k, (c, to) in enumerate(edges.items()):
+                if k:
+                    rest.append((state * n + c, to))
+                else:
+                    self.one_word[state], self.one_next[state] = c, to
+        del built
+        rest.sort()
+        self.more, self.more_next = array("q", [x for x, _ in rest]), array("i", [x for _, x in rest])
+        self.several = bytearray(len(self.size))
+        for x in self.more:
+            self.several[x // n] = 1
+        #: items, and of each state whose suffix of window words (or whole short item) is one, the places of items that have it
+        self.items = [item for item, _ in items]
+        held, short = [], {}
+        self.least = min((min(len(r), window) for r in runs if r), default=window)
+        for k, run in enumerate(runs):
+            state = length = 0
+            for at, c in enumerate(run, 1):
+                state, length = self.step(state, length, c)
+                if at >= window:
+                    held.append((self.suffix(state, window), k))
+            if run and len(run) < window:
+                short.setdefault(self.suffix(state, len(run)), (len(run), []))[1].append(k)
+        held = sorted(set(held))
+        self.states, self.of = array("i", [x for x, _ in held]), array("i", [k for _, k in held])
+        self.short: dict[int, tuple[int, list[int]]] = short
+
     def step(self, state: int, length: int, c: int) -> tuple[int, int]:
         """State and length of the longest known run that ends with c."""
-        while state and c not in self.next[state]:
+        while state:
+            if self.one_word[state] == c:
+                return self.one_next[state], length + 1
+            if self.several[state]:
+                key = state * len(self.root) + c
+                at = bisect_left(self.more, key)
+                if at < len(self.more) and self.more[at] == key:
+                    return self.more_next[at], length + 1
             state = self.link[state]
             length = self.size[state]
-        to = self.next[state].get(c)
-        return (to, length + 1) if to is not None else (0, 0)
+        to = self.root[c]
+        return (to, length + 1) if to else (0, 0)
 
     def suffix(self, state: int, length: int) -> int:
         while state and self.size[self.link[state]] >= length:
@@ -128,88 +171,139 @@ class Automaton:
                 state, length = self.step(state, length, c)
                 if length >= self.window:
                     hit[at - self.window : at] = True
-                    found |= self.windows[self.suffix(state, self.window)]
+                    s = self.suffix(state, self.window)
+                    found.update(self.of[bisect_left(self.states, s) : bisect_right(self.states, s)])
                 if self.short and length >= self.least:
                     s = state
                     while s > 0:
                         k = self.short.get(s)
                         if k and k[0] <= length:
                             hit[at - k[0] : at] = True
-                            found |= k[1]
+                            found.update(k[1])
                         s = self.link[s]
-        return hit, found
+        return hit, {self.items[k] for k in found}
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> list:
-    """Broadcasts of automata of at most limit words each."""
-    spark, made = benchmark.sparkSession, []
+def item_groups(benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items' words in groups of at most limit words; a longer item goes on in the next with window - 1 words of overlap."""
     group: list[tuple[object, list[bytes]]] = []
     room = limit
-    for row in benchmark.select("item_id", "text").toLocalIterator():  # a partition at a time, an automaton's worth kept
+    for row in benchmark.select("item_id", "text").toLocalIterator():  # a partition at a time, a group kept
         words = words_of(row["text"])
         at = 0
-        while words and at < max(1, len(words) - window + 1 if at else 1):
+        while words:
             part = words[at : at + max(room, window)]
             group.append((row["item_id"], part))
             room -= len(part)
             done = at + len(part) >= len(words)
-            at = at + len(part) - window + 1
+            at += len(part) - window + 1
             if room < window:
-                made.append(spark.sparkContext.broadcast(Automaton(group, window)))
+                yield group
                 group, room = [], limit
             if done:
                 break
-    if group or not made:
-        made.append(spark.sparkContext.broadcast(Automaton(group, window)))
-    return made
+    if group:
+        yield group
+
+
+def machine(spark: SparkSession, group: list[tuple[object, list[bytes]]], window: int):
+    return spark.sparkContext.broadcast(Automaton(group, window))  # AUTOMATON_WORDS words at most
+
+
+def spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    return edges[::2], edges[1::2]
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, finish: Callable, schema: T.StructType, window: int, limit: int) -> DataFrame:
+    """docs through finish(batch, found), found(text's place, words) -> hit, items.
+
+    One automaton is asked in the pass that finishes. Of several, each has a pass of its own, in which workers hold no other;
+    what is found is kept by row, and the pass that finishes reads it.
+    """
+    spark = tuned(docs.sparkSession)
+    groups = item_groups(benchmark, window, limit)
+    first, second = next(groups, []), next(groups, None)
+    at = docs.columns.index("text")
+    if second is None:
+        only = machine(spark, first, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finish(batch, lambda n, words: only.value.match(words))
+
+        return docs.mapInArrow(run, schema)
+
+    row, hits, names = (spare(docs.columns, x) for x in ("row", "hits", "names"))
+    whole = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    parts = []
+    for group in chain([first, second], groups):
+        one = machine(spark, group, window)
+
+        def ask(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    hit, found = one.value.match(words_of(text))
+                    if found:
+                        a, b = spans(hit)
+                        out.append((n, list(zip(a.tolist(), b.tolist(), strict=True)), list(found)))
+                rows, pairs, items = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in pairs], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(to_arrow_type(kind)))], names=["row", "hits", "names"])
+
+        kind = benchmark.schema["item_id"].dataType
+        found = T.StructType([T.StructField("row", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in "ab"]))), T.StructField("names", T.ArrayType(kind))])
+        parts.append(cut(whole.select(row, "text").mapInArrow(ask, found), "hits"))
+        one.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias(hits), F.flatten(F.collect_list("names")).alias(names)).withColumnRenamed("row", row)  # at most a text's words for each automaton
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, items = (batch.column(x).to_pylist() for x in (len(docs_columns), len(docs_columns) + 1))
+
+            def known(n: int, words: list[bytes], pairs=pairs, items=items) -> tuple[np.ndarray, set]:
+                hit = np.zeros(len(words), bool)
+                for x in pairs[n] or ():
+                    hit[x["a"] : x["b"]] = True
+                return hit, set(items[n] or ())
+
+            yield finish(batch.select(docs_columns), known)
+
+    docs_columns = docs.columns
+    return whole.join(every, row, "left").select(*docs_columns, hits, names).mapInArrow(settle, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), and the longest hit run."""
-    tuned(docs.sparkSession)
-    machines = automata(benchmark, window, limit)
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_words", "n_hit", "n_items", "longest")), T.StructField("items", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for value in batch.column(1):
-                words = words_of(value.as_py())
-                hit, found = hits(words, machines)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-                for c, x in zip(cols, (len(words), int(hit.sum()), len(found), longest, sorted(map(str, found))), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.string()))], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def hits(words: list[bytes], machines: list) -> tuple[np.ndarray, set]:
-    hit, found = np.zeros(len(words), bool), set()
-    for m in machines:
-        more, items = m.value.match(words)
-        hit |= more
-        found |= items
-    return hit, found
-
-
-def clean_text(text: str, machines: list, max_coverage: float = MAX_COVERAGE) -> str | None:
-    """text without its hit spans; None if more than max_coverage of its words are hit; text itself if none is."""
+    def finish(batch: pa.RecordBatch, found: Callable) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(5)]
+        for n, value in enumerate(batch.column(1)):
+            words = words_of(value.as_py())
+            hit, items = found(n, words)
+            a, b = spans(hit)
+            for c, x in zip(cols, (len(words), int(hit.sum()), len(items), int((b - a).max()) if len(a) else 0, sorted(str(x) for x in items if x is not None)), strict=True):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.string()))], names=schema.names)
+
+    return judged(docs.select("doc_id", "text"), benchmark, finish, schema, window, limit)
+
+
+def clean_text(text: str, found: Callable, max_coverage: float = MAX_COVERAGE) -> str | None:
+    """text without its hit spans; None if more than max_coverage of its words are hit; text itself if none is. found: words -> hit, items."""
     raw = text.encode()
     mapped = raw.translate(WORD_TABLE)
     words = mapped.split()
-    hit, _ = hits(words, machines)
+    hit, _ = found(words)
     if not hit.any():
         return text
     if hit.mean() > max_coverage:
         return None
     on = np.frombuffer(mapped, np.uint8) != 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], on.view(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2]
-    spans = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    starts, ends = spans(on)
     out, at = [], 0
-    for a, b in zip(spans[::2], spans[1::2], strict=True):
+    for a, b in zip(*spans(hit), strict=True):
         out.append(raw[at : starts[a]])
         at = ends[b - 1]
     return b"".join([*out, raw[at:]]).decode()
@@ -217,24 +311,21 @@ def clean_text(text: str, machines: list, max_coverage: float = MAX_COVERAGE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVERAGE, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
     """docs with hit spans cut from their texts; documents that are mostly test items go. Columns stay; n_chars, if there, follows the text."""
-    tuned(docs.sparkSession)
-    machines = automata(benchmark, window, limit)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [x and clean_text(x, machines, max_coverage) for x in old]
-            keep = pa.array([a is None or b is not None for a, b in zip(old, new, strict=True)], pa.bool_())
-            cols = list(batch.columns)
-            cols[at] = pa.array(new, cols[at].type)
-            if counted is not None:
-                was = cols[counted].to_pylist()
-                cols[counted] = pa.array([w if a is b or b is None else len(b) for w, a, b in zip(was, old, new, strict=True)], cols[counted].type)
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+    def finish(batch: pa.RecordBatch, found: Callable) -> pa.RecordBatch:
+        old = batch.column(at).to_pylist()
+        new = [x and clean_text(x, lambda words, n=n: found(n, words), max_coverage) for n, x in enumerate(old)]
+        keep = pa.array([a is None or b is not None for a, b in zip(old, new, strict=True)], pa.bool_())
+        cols = list(batch.columns)
+        cols[at] = pa.array(new, cols[at].type)
+        if counted is not None:
+            was = cols[counted].to_pylist()
+            cols[counted] = pa.array([w if a is b or b is None else len(b) for w, a, b in zip(was, old, new, strict=True)], cols[counted].type)
+        return pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(keep)
+
+    return judged(docs, benchmark, finish, docs.schema, window, limit)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
