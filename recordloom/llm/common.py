@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold on its way to Python; texts are whole, so a batch stays small.
 ARROW_ROWS = 512
+#: Words of 64 bits in a filter of ids, and so the bound of what one broadcasts.
+FILTER_WORDS = 1 << 18
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 _bases: list[tuple[SparkSession, str]] = []
@@ -111,6 +113,29 @@ def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(where)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def id_filter(ids: DataFrame, key: str) -> DataFrame:
+    """A filter of the ids in column key: at most FILTER_WORDS rows (word, bits), whatever the number of ids."""
+    h = F.xxhash64(key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return cut(ids.select(F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+
+
+def perhaps_in(df: DataFrame, key: str, words: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose key the filter may hold, or with inside=False those that it surely lacks. Nothing moves but the filter."""
+    w, b = spare(df.columns, "word"), spare(df.columns, "bits")
+    h = F.xxhash64(df[key])
+    there = (F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)) == F.col(w)) & (F.call_function("shiftrightunsigned", F.col(b), h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    return df.join(F.broadcast(words.withColumnsRenamed({"word": w, "bits": b})), there, "left_semi" if inside else "left_anti")  # FILTER_WORDS rows at most
+
+
 def fingerprint(text="text"):
     """A text's 128-bit identity as two longs; null counts as the empty text."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -143,18 +168,20 @@ def components(nodes_edges: DataFrame, rounds: int = 60) -> DataFrame:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         return out, least
 
+    def starred(e: DataFrame) -> bool:
+        """Whether each u has one v, and no v is a u: nothing is left to do."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").head(1)
+
     e = cut(nodes_edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
     for _ in range(rounds):
+        if starred(e):
+            break
         wide, hubs = large(e)
         wide = cut(wide, "stars")
         narrow, hubs2 = small(wide)
         last, e = e, cut(narrow, "stars")
         drop(last, wide, hubs, hubs2)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

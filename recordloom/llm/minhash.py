@@ -1,20 +1,23 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification and connected components.
 
-Documents with equal texts share a node. A node's signature holds HASHES minima of universal hashes over its distinct word
-shingles; BANDS bands of equal minima make buckets. First, every member of a bucket is paired with the bucket's leader.
-Pairs whose signatures agree enough are confirmed on their full shingle sets, and confirmed links joined into components.
-Buckets whose members still lie in several components are looked at again: pairs across components whose
-signatures agree join these into families, which hold every link that is still to be found. A family's texts are dealt to
-blocks, and each pair of blocks is compared in a task of its own, across components only: first signatures, then full
-sets. No group is gathered whole, no pair is dropped, and what a task returns is a forest over its rows, never its pairs.
+Rows are numbered and written once; signatures are computed where the rows lie. Rows with equal texts share a node, the
+least of their numbers. A signature holds HASHES minima of universal hashes over distinct word shingles; BANDS bands of
+equal minima make buckets. First, every member of a bucket is paired with the bucket's leader. Pairs whose signatures agree
+enough are confirmed on their full shingle sets, and confirmed links joined into components. Buckets whose members still
+lie in several components are looked at again: pairs across components whose signatures agree join these into families,
+which hold every link that is still to be found. A family's signatures are dealt to blocks, and each pair of blocks is
+compared in a task of its own, across components only; rows that agree with another one there are then compared by their
+full sets. Texts move only if they are in a candidate pair: a filter of bounded size over their numbers holds the others
+back (at a saturated filter more texts move, and results are the same). No group is gathered whole, no pair is dropped, and
+what a task returns is a forest over its rows, never its pairs.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8, and its signature falls under AGREE with
 probability below 1e-8.
 
 Defined results: null and empty texts, and texts without a word, have no shingles and link with nothing; rows that repeat
 belong to one component and each report it; an empty table gives an empty result; other columns are ignored by
-near_duplicates and kept by keep_one, where names that begin with _ are taken; without any doc_id a component has a null
-id.
+near_duplicates and kept by keep_one, whatever their names; without any doc_id a component has a null id. Texts of any
+length are read whole, one at a time if they are long; of ties for the smallest doc_id every row is kept by near_duplicates.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut, distinct_texts, drop, fingerprint, table, tuned
+from .common import components, cut, drop, fingerprint, id_filter, perhaps_in, spare, table, tuned
 from .textscan import Words, chunks, mix
 
 SHINGLE = 5
@@ -71,13 +75,15 @@ def distinct(x: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(doc[order][new], minlength=texts)
 
 
-def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """node, text -> node, n_shingles, low byte of each minimum, band keys (none for a text without shingles)."""
-    rows = HASHES // BANDS
+def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rows with a column text -> in its place n_shingles, low byte of each minimum, band keys (none for a text without shingles)."""
+    per = HASHES // BANDS
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in chunks(batch.column(1)):
+            for a, b, data, off in chunks(batch.column(len(kept))):
                 x, doc = shingles(Words(data, off, lower=True), shingle)
                 n = distinct(x, doc, b - a)
                 some = np.flatnonzero(n)
@@ -89,8 +95,8 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = np.zeros((BANDS, len(some)), _U)
                 for band in range(BANDS):
                     k = np.full(len(some), band + 1, _U)
-                    for r in range(rows):
-                        k = mix(k * _U(0x9E3779B97F4A7C15) + least[band * rows + r])
+                    for r in range(per):
+                        k = mix(k * _U(0x9E3779B97F4A7C15) + least[band * per + r])
                     keys[band] = k
                 low = np.ascontiguousarray(least.T.astype(np.uint8))
                 sig = [b""] * (b - a)
@@ -99,9 +105,14 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 held = np.zeros(b - a + 1, np.int32)
                 held[1:][some] = BANDS
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(held, dtype=np.int32)), pa.array(np.ascontiguousarray(keys.T).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sig, pa.binary()), bands], names=["node", "n_shingles", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(n), pa.array(sig, pa.binary()), bands], names=schema.names)
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, sig binary, bands array<long>")
+    return rows.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+
+
+def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the nodes in wanted: a filter keeps other texts from moving."""
+    return perhaps_in(texts, "node", id_filter(wanted, "node")).join(wanted, "node")
 
 
 def agreeing(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -222,8 +233,21 @@ def perhaps(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.select("key", "p", "q", "i", "node", "component", "n_shingles", "sig").mapInArrow(run, "u long, v long")
 
 
-def surely(members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """members (family, blocks, node, component, n_shingles, sig, text) -> links (u, v) that join all that confirmed pairs across components join."""
+def partnered(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """members (family, blocks, node, component, n_shingles, sig) -> rows of block pairs (family, p, q, i, and the rest) that agree with another row there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["family", "p", "q"]):
+            some = np.union1d(*alike(t, percent))
+            if len(some):
+                yield from t.take(pa.array(some)).combine_chunks().to_batches()
+
+    names = ["family", "p", "q", "i", "node", "component", "n_shingles", "sig"]
+    return block_pairs(members, "family", F.col("blocks")).select(*names).mapInArrow(run, "family long, p int, q int, i int, node long, component long, n_shingles long, sig binary")
+
+
+def surely(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """partnered rows with text -> links (u, v) that join all that confirmed pairs across components join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["family", "p", "q"]):
@@ -248,7 +272,7 @@ def surely(members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
             if len(on):
                 yield _edges(t["node"].to_numpy(), forest(x[on], y[on], len(t)))
 
-    dealt = block_pairs(members, "family", F.col("blocks"))
+    dealt = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
     return dealt.select("family", "p", "q", "i", "node", "component", "n_shingles", "sig", "text").mapInArrow(run, "u long, v long")
 
 
@@ -256,17 +280,18 @@ def stars(joined: DataFrame) -> DataFrame:
     return joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signatures of nodes, and (node, component) of nodes that link with another."""
-    signs = cut(signatures(texts, shingle), "signatures")
+def linked_nodes(signs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of nodes that link with another, out of their signatures; texts: node, text, of which only those of candidate pairs move."""
     keys = signs.select("node", F.explode("bands").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1"), "buckets")
     members = cut(keys.join(shared, "key"), "members")
     pairs = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     close = cut(agreeing(pairs, signs, percent), "agreeing")
-    links = cut(confirmed(close, texts, shingle, percent), "links")
+    wanted = cut(close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct(), "wanted")
+    own = cut(fetched(texts, wanted), "texts")
+    links = cut(confirmed(close, own, shingle, percent), "links")
     joined = cut(components(links), "components")
-    drop(close, links)
+    drop(close, links, wanted, own)
 
     of = members.join(joined, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
     mixed = cut(of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
@@ -276,38 +301,50 @@ def linked_nodes(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     families = components(edges.unionByName(stars(joined))).withColumnRenamed("component", "family")
     inside = cut(families.join(joined, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")).join(sized, "node"), "families")
     several = inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi")
-    several = several.select("family", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
-    more = cut(surely(inside.join(several, "family").join(texts.select("node", "text"), "node"), shingle, percent), "links")
+    several = cut(several.select("family", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks")), "several")
+    paired = cut(partnered(inside.join(several, "family"), percent), "partnered")
+    wanted = cut(paired.select("node").distinct(), "wanted")
+    more = cut(surely(paired.join(fetched(texts, wanted), "node"), shingle, percent), "links")
     out = cut(components(more.unionByName(stars(joined))), "components")
-    drop(edges, inside, more, joined)
-    return signs, out
+    drop(edges, inside, several, paired, wanted, more, joined)
+    return out
+
+
+def judged(whole: DataFrame, row: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """row, doc_id, a, b (text fingerprint), n_shingles, component_id, kept. whole: a table that is cut, with row numbers in the column row."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    slim = whole.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), text, fingerprint().alias("fp"))
+    sketches = cut(signatures(slim.select("row", "id", F.col("fp.a").alias("a"), F.col("fp.b").alias("b"), "text"), shingle), "sketches")
+    nodes = cut(sketches.groupBy("a", "b").agg(F.min("row").alias("node"), F.min("id").alias("id")), "nodes")  # numbers move, not texts
+    signs = cut(sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sig", "bands"), "signatures")
+    joined = linked_nodes(signs, whole.select(F.col(row).alias("node"), text), shingle, percent)
+    least = joined.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    of_node = joined.join(least, "component").select("node", "least")
+    named = cut(nodes.join(of_node, "node", "left").select("a", "b", F.coalesce("least", "id").alias("least")), "named")
+    drop(nodes, signs, joined)
+    of = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
+    rows = sketches.select("row", "id", "a", "b", "n_shingles").join(named, ["a", "b"])
+    return rows.select("row", F.col("id").alias("doc_id"), "a", "b", "n_shingles", of.alias("component_id"), F.col("id").eqNullSafe(of).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, a, b (text fingerprint), n_shingles, component_id, kept for every row of docs."""
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
     tuned(docs.sparkSession)
-    texts = cut(distinct_texts(docs), "texts")
-    signs, joined = linked_nodes(texts, shingle, percent)
-    nodes = texts.select("node", "a", "b", "id").join(signs.select("node", "n_shingles"), "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("id").alias("least"))
-    nodes = cut(nodes.join(least, "component").select("a", "b", "n_shingles", "least"), "nodes")
-    drop(texts, signs, joined)
-    rows = docs.select("doc_id", fingerprint().alias("fp")).select("doc_id", F.col("fp.a").alias("a"), F.col("fp.b").alias("b"))
-    of = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.join(nodes, ["a", "b"]).select("doc_id", "a", "b", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+    whole = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    return judged(whole, "row", shingle, percent).drop("row", "a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest doc_id stays. Rows with equal doc_id and text are one; rows without a word stay."""
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_n", F.col("doc_id").isNull())
-
-    keys = ["_d", "_n", "_a", "_b"]  # copies of a text lie apart by their ids
-    found = cut(near_duplicates(docs, shingle, percent).where("kept OR n_shingles = 0"), "kept")  # cut, so that the join of a text's many copies can be split
-    stay = keyed(found.withColumnsRenamed({"a": "_a", "b": "_b"})).select(*keys).distinct()
-    whole = keyed(docs.withColumn("_fp", fingerprint()).withColumn("_a", F.col("_fp.a")).withColumn("_b", F.col("_fp.b")))
-    return whole.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    tuned(docs.sparkSession)
+    row = spare(docs.columns, "row")
+    whole = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = cut(judged(whole, row, shingle, percent), "judged")
+    stay = found.where("kept OR n_shingles = 0").groupBy("doc_id", "a", "b").agg(F.min("row").alias("row"))
+    gone = cut(found.select(F.col("row").alias(row)).join(stay.select(F.col("row").alias(row)), row, "left_anti"), "gone")
+    words = id_filter(gone, row)
+    rest = perhaps_in(whole, row, words).join(gone, row, "left_anti")  # other rows do not move
+    return perhaps_in(whole, row, words, inside=False).unionByName(rest).select(*docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
