@@ -16,6 +16,7 @@ FILTER_WORDS = 1 << 18
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 _bases: list[tuple[SparkSession, str]] = []
+_named: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")  # its files stay, as they are not the catalog's
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -100,17 +103,21 @@ def made() -> list[tuple[SparkSession, str]]:
 
 
 def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As cut, as a table bucketed by key: later joins on key move the other side only."""
+    """As cut, as a table bucketed by key: later joins on key move the other side only. It leaves the catalog with its files."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     where = f"recordloom_{uuid.uuid4().hex}_{name}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.repartition(n, key).write.bucketBy(n, key).option("path", fresh_path(spark, name)).saveAsTable(where)
+        path = fresh_path(spark, name)
+        _named[path] = where
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(where)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.table(where)
+    out = spark.table(where)
+    out._loom_path = path
+    return out
 
 
 def spare(columns: list[str], name: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP10_SQL, op10_decontamination
@@ -20,7 +19,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_minhash": op5_minhash, "op6_personal": op6_personal, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "pipeline": corpus_pipeline.run}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_minhash": op5_minhash, "op6_personal": op6_personal, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

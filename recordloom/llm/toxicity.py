@@ -4,8 +4,9 @@ Features are hashed words, word pairs, and words two apart, each present or not.
 keeps most weights at zero, so what is broadcast is a short list of at most 2^BITS weights. It is fitted on a sample of at
 most SAMPLE labelled rows, taken by a hash of their ids; scoring reads every whole text.
 
-Defined results: null and empty texts score as the bias alone; a doc_id with several labels is toxic if any says so;
-labels without a document and null labels are not learned from; without any row to learn from every score is 0; a null
+Defined results: null and empty texts score as the bias alone; a doc_id with several labels is toxic if any says so, and of
+a doc_id with several texts one is learned from, the same one each time; texts of any length are read whole; ties of sampled
+ids' hashes go to the lower id; labels without a document and null labels are not learned from; without any row to learn from every score is 0; a null
 doc_id is not held out; rows that repeat are scored alike; other columns are ignored by score and kept by keep_clean.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tuned
+from .common import spare, table, tuned
 from .textscan import Words, chunks, mix
 
 BITS = 20
@@ -78,7 +79,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     tuned(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(sample)  # so many rows at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most sample ids
+    texts = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.max("toxic").alias("toxic"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], names=["at", "w", "bias"])
 
     types = T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.LongType()), T.StructField("x", T.BinaryType())])
-    found = texts.mapInArrow(collect, types).limit(sample).repartition(1).mapInArrow(train, "at binary, w binary, bias double").collect()  # one row of at most 2^BITS weights
+    found = texts.mapInArrow(collect, types).repartition(1).mapInArrow(train, "at binary, w binary, bias double").collect()  # one row of at most 2^BITS weights
     return (np.frombuffer(found[0]["at"], np.int32), np.frombuffer(found[0]["w"]), found[0]["bias"]) if found else None
 
 
@@ -131,7 +133,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, n
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, cut: float = CUT) -> DataFrame:
     """docs that score under the cut."""
-    return score(docs, model, "__toxicity").where(F.col("__toxicity") < cut).drop("__toxicity")
+    name = spare(docs.columns, "toxicity")
+    return score(docs, model, name).where(F.col(name) < cut).drop(name)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

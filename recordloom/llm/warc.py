@@ -6,8 +6,10 @@ offsets; records whose payload another record holds become revisits meanwhile. r
 index. Files lie in the shared folder; a task writes under its own attempt's name, so a task that runs again harms nothing.
 
 Defined results: null html is an empty payload; of equal payloads of at least MIN_REVISIT bytes the largest page_id is the
-response (all rows that repeat that page_id are), rows without a page_id are responses; null urls have no target; an
-empty table makes no archive; other columns are ignored.
+response (all rows that repeat that page_id are), rows without a page_id are responses; null urls have no target; record
+ids hold a row's place beside its page_id, so rows that repeat have ids of their own; payloads of any length are written
+whole; an empty table makes no archive; other columns are ignored. The shared folder must be of a scheme that Arrow opens
+(file, hdfs, s3 and s3a, gs, abfs).
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ MIN_REVISIT = 1000
 #: Inflated bytes after which a task begins its next archive.
 ROLL = 256 << 20
 READ = 1 << 18
+#: Hadoop's names of stores that Arrow knows under another.
+ALIASES = {"s3a": "s3", "s3n": "s3", "o3fs": "hdfs"}
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-WRITTEN = "archive string, ordinal long, page_id long, payload_bytes long, payload_digest string"
+WRITTEN = "archive string, ordinal long, serial string, page_id long, payload_bytes long, payload_digest string"
 NORMAL = "archive string, sidecar string, records long"
 READ_BACK = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -40,7 +44,8 @@ READ_BACK = "page_id long, payload_bytes long, payload_digest string, record_typ
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, sign, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(ALIASES.get(scheme, scheme) + sign + rest)
 
 
 def _open(uri: str):
@@ -49,11 +54,10 @@ def _open(uri: str):
     return fs.open_output_stream(path, compression=None)
 
 
-def record(kind: str, page: int | None, serial: str, url: str | None, digest: str, size: int, payload: bytes = b"", refers_to: int | None = None) -> bytes:
+def record(kind: str, page: int | None, serial: str, url: str | None, digest: str, size: int, payload: bytes = b"", refers_to: str | None = None) -> bytes:
     """A WARC record of an HTTP response, or of its revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    name = "none:" + serial if page is None else str(page)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page is None else page}:{serial}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~%-._"))
     if kind == "revisit":
@@ -105,15 +109,16 @@ def write_archives(pages: DataFrame, where: str, roll: int = ROLL) -> DataFrame:
                     out, squeeze, size, ordinal, files = _open(name), zlib.compressobj(1, wbits=31), 0, 0, files + 1
                 payload = (html or "").encode()
                 digest = hashlib.sha1(payload).hexdigest()
-                raw = record("response", page, f"{task.partitionId()}-{files}-{ordinal}", url, digest, len(payload), payload)
+                serial = f"{task.partitionId()}-{files}-{ordinal}"
+                raw = record("response", page, serial, url, digest, len(payload), payload)
                 out.write(squeeze.compress(raw))
-                rows.append((name, ordinal, page, len(payload), digest))
+                rows.append((name, ordinal, serial, page, len(payload), digest))
                 size, ordinal = size + len(raw), ordinal + 1
                 if size >= roll:
                     out.write(squeeze.flush())
                     out.close()
                     out = None
-            yield pa.RecordBatch.from_pylist([dict(zip(("archive", "ordinal", "page_id", "payload_bytes", "payload_digest"), r, strict=True)) for r in rows], schema=pa.schema([("archive", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("archive", "ordinal", "serial", "page_id", "payload_bytes", "payload_digest"), r, strict=True)) for r in rows], schema=pa.schema([("archive", pa.string()), ("ordinal", pa.int64()), ("serial", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
         if out is not None:
             out.write(squeeze.flush())
             out.close()
@@ -122,16 +127,16 @@ def write_archives(pages: DataFrame, where: str, roll: int = ROLL) -> DataFrame:
 
 
 def revisits(written: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """(archive, ordinal, refers_to) of records whose payload a record of a larger page_id holds."""
+    """(archive, ordinal, refers_to) of records whose payload a record of a larger page_id holds; refers_to ends that record's id."""
     big = written.where(F.col("payload_bytes") >= least)
-    heads = big.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return big.join(heads, ["payload_digest", "payload_bytes"]).where("page_id < refers_to").select("archive", "ordinal", "refers_to")
+    heads = big.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "serial")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return big.join(heads, ["payload_digest", "payload_bytes"]).where("page_id < head.page_id").select("archive", "ordinal", F.concat_ws(":", F.col("head.page_id").cast("string"), "head.serial").alias("refers_to"))
 
 
 def normalise(archives: DataFrame, where: str) -> DataFrame:
     """archives (archive, turned: array of (ordinal, refers_to)) rewritten under where: a row for each archive."""
 
-    def one(archive: str, turned: dict[int, int]) -> tuple[str, str, int]:
+    def one(archive: str, turned: dict[int, str]) -> tuple[str, str, int]:
         task = TaskContext.get()
         name = f"{where}/{archive.rpartition('/')[2].removesuffix('.warc.gz')}-{task.taskAttemptId()}.warc.gz"
         sidecar, at, n = name.removesuffix(".warc.gz") + ".index.jsonl", 0, 0
@@ -140,9 +145,9 @@ def normalise(archives: DataFrame, where: str) -> DataFrame:
             for n, raw in enumerate(records(source), 1):
                 headers, _ = head = parse(raw) if n - 1 in turned else ({}, b"")
                 if head[0]:
-                    page = headers["WARC-Record-ID"][len("<urn:page:") : -1]
+                    page, _, serial = headers["WARC-Record-ID"][len("<urn:page:") : -1].partition(":")
                     digest = base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex()
-                    raw = record("revisit", int(page), "", headers.get("WARC-Target-URI"), digest, int(headers["Payload-Length"]), refers_to=turned[n - 1])
+                    raw = record("revisit", int(page), serial, headers.get("WARC-Target-URI"), digest, int(headers["Payload-Length"]), refers_to=turned[n - 1])
                 squeeze = zlib.compressobj(6, wbits=31)
                 member = squeeze.compress(raw) + squeeze.flush()
                 out.write(member)
@@ -170,13 +175,13 @@ def read_archives(normal: DataFrame, payloads: bool = False) -> DataFrame:
             for line in index.read().splitlines():
                 member = json.loads(line)
                 headers, payload = parse(zlib.decompress(source.read_at(member["length"], member["offset"]), 31))
-                page, refers = (headers.get(x, "")[len("<urn:page:") : -1] for x in ("WARC-Record-ID", "WARC-Refers-To"))
+                page, refers = (headers.get(x, "")[len("<urn:page:") : -1].partition(":")[0] for x in ("WARC-Record-ID", "WARC-Refers-To"))
                 kind = headers["WARC-Type"]
                 digest = base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex()
                 size = int(headers["Payload-Length"])
                 if kind == "response" and (size, digest) != (len(payload), hashlib.sha1(payload).hexdigest()):
                     raise ValueError(f"{archive}: the payload at {member['offset']} differs from its record")
-                yield (None if page.startswith("none:") else int(page)), size, digest, kind, int(refers) if refers else None, headers.get("WARC-Target-URI"), payload if payloads and kind == "response" else None
+                yield (None if page == "none" else int(page)), size, digest, kind, int(refers) if refers else None, headers.get("WARC-Target-URI"), payload if payloads and kind == "response" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

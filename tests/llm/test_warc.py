@@ -45,6 +45,38 @@ def test_records_come_back(spark, tmp_path):
         assert all(gzip.decompress(data[m["offset"] : m["offset"] + m["length"]]).startswith(b"WARC/1.1\r\n") for m in members)
 
 
+def test_ids_are_unique_and_revisits_refer_to_one(spark, tmp_path):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    warc.archive_pages(df, f"file://{tmp_path}/w").collect()
+    seen = {}
+    for path in (tmp_path / "w/normal").glob("*.gz"):
+        with path.open("rb") as f:
+            for raw in warc.records(f):
+                headers, _ = warc.parse(raw)
+                assert headers["WARC-Record-ID"] not in seen
+                seen[headers["WARC-Record-ID"]] = headers
+    refers = [h["WARC-Refers-To"] for h in seen.values() if h["WARC-Type"] == "revisit"]
+    assert len(seen) == len(pages()) and refers and all(seen[x]["WARC-Type"] == "response" for x in refers)
+
+
+def test_revisits_equal_the_sql(spark, tmp_path):
+    """The registered SQL, on a table that has revisits, which the given ones lack."""
+    from ..compare import connect, rows
+
+    given = [(p, u, h) for p, u, h in pages() if p not in (None, 55)]
+    spark.createDataFrame(given, "page_id long, url string, html string").write.parquet(f"{tmp_path}/sf/pages.parquet")
+    got = warc.op2_warc(spark, f"{tmp_path}/sf").toPandas()
+    table = "(VALUES " + ", ".join(f"({p}, {'NULL' if h is None else chr(39) + h + chr(39)})" for p, _, h in given) + ") AS pages(page_id, html)"
+    want = connect("/root/testdata/sf0.001").execute(warc.OP2_SQL.replace("FROM pages", f"FROM {table}")).df()
+    assert (got["record_type"] == "revisit").sum() > 30
+    assert rows(got) == rows(want)
+
+
+def test_schemes():
+    assert warc.ALIASES["s3a"] == "s3"
+    assert warc._fs("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
