@@ -2,17 +2,20 @@
 
 A window's minimizer, the least hash of its word runs of GRAM, names the shard it belongs to, so equal windows meet in
 one shard and a document streams only to the shards of its own windows. Consecutive windows whose minimizer stands at one
-position form a segment (at most WINDOW - GRAM + 1 windows, all different). Segments are counted before words are moved:
-a minimizer that is met once has no repeated window, and a segment that is met twice has repeated windows only. The rest,
-mostly ends of shared passages, is searched: a shard's distinct segments are sorted to depth WINDOW and kept as a
-wavelet-matrix FM-index, and backward search gives each window's matching statistic, stopping where fewer than two
-occurrences (counted with copies) are left. Windows that reach the threshold are reported.
-
-A minimizer with more than SHARD distinct segments is split by the hash of single windows, which are counted.
-
-Words and segments are compared by 64-bit hashes inside a shard. Defined results: null and empty texts have no words;
-texts under WINDOW words keep all; windows of rows that repeat count as starting elsewhere; an empty table gives an empty
-result; other columns are ignored.
+position form a segment (at most WINDOW - GRAM + 1 windows, all different). Segments are counted by 128-bit hashes before
+words are moved: a shard that one window only has met holds no repeat. Every other shard is searched: its distinct segments,
+each with its number of copies, are sorted to depth WINDOW or more and kept as a wavelet-matrix FM-index, and backward search
+gives matching statistics, stopping where fewer than two occurrences (counted with copies) are left. For a segment met once
+they are taken at the end of each window, for one met more often at its own end. Windows that reach the threshold are
+reported.
+
+A shard of more than SHARD distinct segments is dealt anew by minimizers of longer runs (of GRAM, then half way to WINDOW,
+then of WINDOW words, where a shard is one window), so no task holds a common minimizer's segments whole; the parts are
+indexed and searched as the others are.
+
+Words are compared by 64-bit hashes inside a shard. Defined results: null and empty texts have no words; texts under WINDOW
+words keep all; windows of rows that repeat count as starting elsewhere; texts of any length are cut whole; which of equal
+segments lends its words does not matter; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from .textscan import Words, chunks, mix, powers
 
 WINDOW = 35
 GRAM = 8
-#: Distinct segments of one minimizer that an index may hold.
-SHARD = 20_000
+#: Distinct segments of a shard that is not dealt anew.
+SHARD = 1_000
 #: Words that an index is built over at once, if they are of more than one minimizer.
 INDEX_WORDS = 400_000
 _U = np.uint64
@@ -49,8 +52,27 @@ def least_in(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return value, place
 
 
+SEGMENT = ["m", "seg", "alt", "n"]
+
+
+def cut_segments(h: np.ndarray, value: np.ndarray, place: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of the windows that begin at words `at` of hashes h: minimizer, two hashes, first word and number of windows. value, place: of each window's minimizer; owner: of each word."""
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    at = at[first]
+    p, q = powers(len(h) + 1)
+    both = []
+    for x in (h, mix(h + _U(0x5EED))):
+        c = np.zeros(len(x) + 1, _U)
+        np.cumsum(x * p[: len(x)], out=c[1:])
+        both.append(mix((c[at + n + window - 1] - c[at]) * q[at] + n.astype(_U)).view(np.int64))
+    return value[at].view(np.int64), *both, at, n.astype(np.int32)
+
+
 def segments(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """node, copies, text -> m (minimizer), node, copies, start (word), n (windows), seg (hash of the segment's words)."""
+    """node, copies, text -> m (minimizer), seg and alt (hashes of the segment's words), n (windows), node, copies, start (word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,23 +82,14 @@ def segments(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
                 if len(w) < window:
                     continue
                 h = w.hash
-                value, place = least_in(w.runs(h, gram), window - gram + 1)
                 at = np.flatnonzero(w.whole(window))
                 if not len(at):
                     continue
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at)))
-                at = at[first]
-                p, q = powers(len(h) + 1)
-                c = np.zeros(len(h) + 1, _U)
-                np.cumsum(h * p[: len(h)], out=c[1:])
-                seg = mix((c[at + n + window - 1] - c[at]) * q[at] + n.astype(_U))
+                m, seg, alt, at, n = cut_segments(h, *least_in(w.runs(h, gram), window - gram + 1), at, w.doc, window)
                 doc = w.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value[at].view(np.int64), nodes[a + doc], copies[a + doc], (at - w.first[doc]).astype(np.int32), n.astype(np.int32), seg.view(np.int64))], names=["m", "node", "copies", "start", "n", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, seg, alt, n, nodes[a + doc], copies[a + doc], (at - w.first[doc]).astype(np.int32))], names=[*SEGMENT, "node", "copies", "start"])
 
-    return texts.select("node", "copies", "text").mapInArrow(run, "m long, node long, copies long, start int, n int, seg long")
+    return texts.select("node", "copies", "text").mapInArrow(run, "m long, seg long, alt long, n int, node long, copies long, start int")
 
 
 class FMIndex:
@@ -100,7 +113,8 @@ class FMIndex:
                 break
         order = np.argsort(rank, kind="stable")
         bwt = symbols[order - 1]
-        self.before = np.concatenate(([0], np.cumsum(weights[order])))
+        total = int(weights.sum())
+        self.before = np.concatenate(([0], np.cumsum(weights[order]))).astype(np.uint32 if total < 1 << 32 else np.int64)
         self.total = n
         counts = np.bincount(symbols)
         start = np.concatenate(([0], np.cumsum(counts)))[:-1]
@@ -111,7 +125,7 @@ class FMIndex:
             on = (level >> shift & 1).astype(bool)
             packed = np.zeros((n >> 6) + 1, np.uint64)
             packed.view(np.uint8)[: -(-n // 8)] = np.packbits(on, bitorder="little")
-            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))
+            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))).astype(np.uint32)
             zeros = n - int(on.sum())
             self.bits.append((packed, ones, zeros))
             low = self._down(low, names >> shift & 1, self.bits[-1])
@@ -122,7 +136,7 @@ class FMIndex:
     def _down(at: np.ndarray, bit: np.ndarray, level: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
         packed, ones, zeros = level
         word = at >> 6
-        one = ones[word] + np.bitwise_count(packed[word] & ((_U(1) << (at & 63).astype(_U)) - _U(1))).astype(np.int64)
+        one = ones[word].astype(np.int64) + np.bitwise_count(packed[word] & ((_U(1) << (at & 63).astype(_U)) - _U(1))).astype(np.int64)
         return np.where(bit, zeros + one, at - one)
 
     def back(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -131,49 +145,50 @@ class FMIndex:
             at = self._down(at, symbol >> (len(self.bits) - 1 - k) & 1, level)
         return at + self.jump[symbol]
 
-    def matching(self, symbols: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-        """For each end, how many words before it occur twice or more together, up to length."""
+    def matching(self, symbols: np.ndarray, ends: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For each end, how many words before it occur twice or more together, up to its length."""
         got = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.total)
-        for k in range(1, length + 1):
+        k = 0
+        while len(live):
+            k += 1
             s = symbols[ends[live] - k]
             both = self.back(np.concatenate((lo, hi)), np.concatenate((s, s)))
             lo, hi = both[: len(live)], both[len(live) :]
-            on = self.before[hi] - self.before[lo] >= 2
+            on = self.before[hi].astype(np.int64) - self.before[lo] >= 2
+            got[live[on]] = k
+            on &= length[live] > k
             live, lo, hi = live[on], lo[on], hi[on]
-            if not len(live):
-                break
-            got[live] = k
         return got
 
 
 def search(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rows m, seg, n, copies, words (64-bit hashes of distinct segments) -> m, seg, n, mask (bit i: window i repeats) for segments met once."""
+    """rows m, seg, alt, n, copies, words (64-bit hashes of distinct segments) -> m, seg, alt, n, mask (bit i: window i repeats)."""
 
-    def index(m: np.ndarray, seg: np.ndarray, n: np.ndarray, copies: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+    def index(m: np.ndarray, seg: np.ndarray, alt: np.ndarray, n: np.ndarray, copies: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
         size = n + window - 1
-        flat = np.frombuffer(b"".join(words), _U)
-        _, ids = np.unique(flat, return_inverse=True)
+        _, ids = np.unique(np.frombuffer(b"".join(words), _U), return_inverse=True)
         ends = np.cumsum(size)
         symbols = np.insert(ids + 1, ends, 0)
         fm = FMIndex(symbols, np.repeat(copies, size + 1), window)
+        ends = ends + np.arange(len(size))  # among symbols
         once = np.flatnonzero(copies == 1)
-        base = (ends - size + np.arange(len(size)))[once]  # where the segment begins among symbols
-        which = np.repeat(np.arange(len(once)), n[once])
-        k = np.arange(len(which)) - np.repeat(np.cumsum(n[once]) - n[once], n[once])
-        full = fm.matching(symbols, base[which] + k + window, window) >= window
-        mask = np.zeros(len(once), np.int64)
-        np.bitwise_or.at(mask, which[full], 1 << k[full])
-        some = mask != 0
-        once = once[some]
-        return pa.RecordBatch.from_arrays([pa.array(m[once]), pa.array(seg[once]), pa.array(n[once]), pa.array(mask[some])], names=["m", "seg", "n", "mask"])
+        which = np.concatenate((np.repeat(once, n[once]), often := np.flatnonzero(copies > 1)))
+        k = np.arange(len(which) - len(often)) - np.repeat(np.cumsum(n[once]) - n[once], n[once])
+        at = np.concatenate(((ends - size)[which[: len(k)]] + k + window, ends[often]))
+        length = np.concatenate((np.full(len(k), window), size[often]))
+        full = fm.matching(symbols, at, length) >= length
+        mask = np.zeros(len(n), np.int64)
+        np.bitwise_or.at(mask, which, np.where(full, np.concatenate((1 << k, (1 << n[often]) - 1)), 0))
+        some = np.flatnonzero(mask)
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (m, seg, alt, n.astype(np.int32), mask)], names=[*SEGMENT, "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             at = 0
-            m, n = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            m, n = np.asarray(batch.column(0)), np.asarray(batch.column(3))
             cuts = np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m))
             if held and len(m) and held[-1].column(0)[len(held[-1]) - 1].as_py() != m[0] and size >= INDEX_WORDS:
                 yield index(*columns(held))
@@ -190,56 +205,70 @@ def search(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def columns(held: list[pa.RecordBatch]) -> tuple:
         t = pa.Table.from_batches(held)
-        return *(t[x].to_numpy().astype(np.int64) for x in ("m", "seg", "n", "copies")), t["words"].to_pylist()
+        return *(t[x].to_numpy().astype(np.int64) for x in (*SEGMENT, "copies")), t["words"].to_pylist()
 
     dealt = rows.repartition("m").sortWithinPartitions("m")
-    return dealt.select("m", "seg", "n", "copies", "words").mapInArrow(run, "m long, seg long, n long, mask long")
+    return dealt.select(*SEGMENT, "copies", "words").mapInArrow(run, "m long, seg long, alt long, n int, mask long")
 
 
-def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+def crowded(kinds: DataFrame) -> DataFrame:
+    """Shards of more than SHARD distinct segments."""
+    return cut(kinds.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > SHARD).select("m"), "crowded")
+
+
+def parts_of(rows: DataFrame, gram: int, window: int) -> DataFrame:
+    """Segments m, seg, alt, n, copies, words cut anew by minimizers of longer runs: those segments, of, which one they are of, and from, its window that they begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                h = np.frombuffer(x["words"], _U)
+                value, place = least_in(Words.runs(None, h, gram), window - gram + 1)
+                own = cut_segments(h, mix(value ^ _U(x["m"] & (1 << 64) - 1)), place, np.arange(x["n"]), np.zeros(len(h), np.int8), window)
+                out += [(int(m), int(seg), int(alt), int(n), x["copies"], h[at : at + n + window - 1].tobytes(), {c: x[c] for c in SEGMENT}, int(at)) for m, seg, alt, at, n in zip(*own, strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*SEGMENT, "copies", "words", "of", "from"])
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.struct([(c, pa.int32() if c == "n" else pa.int64()) for c in SEGMENT]), pa.int32()]
+    return rows.select(*SEGMENT, "copies", "words").mapInArrow(run, "m long, seg long, alt long, n int, copies long, words binary, of struct<m: long, seg: long, alt: long, n: int>, `from` int")
+
+
+def masks(kinds: DataFrame, grams: list[int], window: int) -> DataFrame:
+    """m, seg, alt, n, mask of distinct segments (m, seg, alt, n, copies, words) with repeated windows. grams: of the minimizers that crowded shards are dealt anew by."""
+    many = crowded(kinds) if grams else None
+    if many is None or not many.head(1):
+        return search(kinds, window)
+    few = search(kinds.join(many, "m", "left_anti"), window)
+    parts = cut(parts_of(kinds.join(many, "m", "left_semi"), grams[0], window), "parts")
+    mine = parts.groupBy(*SEGMENT).agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
+    again = mine.join(cut(parts.groupBy("m").agg(F.sum("copies").alias("c")).where("c > 1").select("m"), "often"), "m", "left_semi")
+    found = cut(masks(cut(again, "kinds"), grams[1:], window), "masks")
+    back = parts.select(*SEGMENT, "of", "from").join(found, SEGMENT).select("of.*", F.expr("shiftleft(mask, `from`)").alias("mask"))
+    return few.unionByName(back.groupBy(*SEGMENT).agg(F.bit_or("mask").alias("mask")))
+
+
+def repeated(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """node, start, n, mask of segments with repeated windows. texts: node, copies, text, bucketed by node."""
-    cuts = segments(texts, window)
+    cuts = segments(texts, window, gram)
     often = cut(cuts.groupBy("m").agg(F.sum("copies").alias("c")).where("c > 1").select("m"), "often")  # cut, so that the join of a common one can be split
     met = cut(cuts.join(often, "m", "left_semi"), "segments")
-    kinds = cut(met.groupBy("m", "seg", "n").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "start")).alias("at")), "kinds")
-    mixed = cut(kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("m", "kinds"), "mixed")
-    wanted = kinds.join(mixed, "m").select("m", "seg", "n", "copies", "kinds", F.col("at.node").alias("node"), F.col("at.start").alias("start"))
-    lists = wanted.groupBy("node").agg(F.collect_list(F.struct("m", "seg", "n", "copies", "kinds", "start")).alias("wanted"))  # at most a text's segments
+    kinds = met.groupBy(*SEGMENT).agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "start")).alias("at"))
+    lists = kinds.groupBy("at.node").agg(F.collect_list(F.struct(*SEGMENT, "copies", "at.start")).alias("wanted"))  # at most a text's segments
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in chunks(batch.column(0)):
                 w = Words(data, off)
                 raw = w.hash
-                out = [(x["m"], x["seg"], x["n"], x["copies"], x["kinds"], raw[(s := w.first[d] + x["start"]) : s + x["n"] + window - 1].tobytes()) for d, got in enumerate(batch.column(1).slice(a, b - a).to_pylist()) for x in got]
+                out = [(*(x[c] for c in SEGMENT), x["copies"], raw[(s := w.first[d] + x["start"]) : s + x["n"] + window - 1].tobytes()) for d, got in enumerate(batch.column(1).slice(a, b - a).to_pylist()) for x in got]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    names, types = ["m", "seg", "n", "copies", "kinds", "words"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    worded = cut(texts.join(lists, "node").select("text", "wanted").mapInArrow(fetch, "m long, seg long, n int, copies long, kinds long, words binary"), "words")
-    found = search(worded.where(F.col("kinds") <= SHARD), window)
-    single = single_windows(worded.where(F.col("kinds") > SHARD), window)
-    found = found.unionByName(single).withColumn("n", F.col("n").cast("int"))
-    whole = kinds.where("copies > 1").select("m", "seg", "n", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    return met.join(cut(found.unionByName(whole), "masks"), ["m", "seg", "n"]).select("node", "start", "n", "mask")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*SEGMENT, "copies", "words"])
 
-
-def single_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """As search, by counting single windows: for minimizers that are too common for an index."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                h = np.frombuffer(x["words"], _U)
-                p, q = powers(len(h) + 1)
-                c = np.concatenate((np.zeros(1, _U), np.cumsum(h * p[: len(h)])))
-                k = np.arange(x["n"])
-                wh = mix((c[k + window] - c[k]) * q[k]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(wh), *(pa.array(np.full(len(k), x[y])) for y in ("m", "seg", "n", "copies")), pa.array(k)], names=["wh", "m", "seg", "n", "copies", "k"])
-
-    one = rows.select("m", "seg", "n", "copies", "words").mapInArrow(run, "wh long, m long, seg long, n long, copies long, k long")
-    twice = one.groupBy("wh").agg(F.sum("copies").alias("c")).where("c > 1").select("wh")
-    return one.where("copies = 1").join(twice, "wh", "left_semi").groupBy("m", "seg", "n").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    worded = cut(texts.join(lists, "node").select("text", "wanted").mapInArrow(fetch, "m long, seg long, alt long, n int, copies long, words binary"), "words")
+    found = cut(masks(worded, [(gram + window) // 2, window], window), "masks")
+    return met.join(found, SEGMENT).select("node", "start", "n", "mask")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,12 +1,14 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from recordloom.llm import substrings
 
-from .corpus import documents, frame
+from .corpus import documents, frame, sentence
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -29,11 +31,34 @@ def test_against_brute_force(spark):
     assert result(substrings.deduplicate(frame(spark))) == brute(documents(), 35)
 
 
-def test_common_minimizers_are_split(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD", 1)
+@pytest.mark.parametrize("shard", [1, 3])
+def test_crowded_shards_are_dealt_anew(spark, monkeypatch, shard):
+    monkeypatch.setattr(substrings, "SHARD", shard)
     assert result(substrings.deduplicate(frame(spark))) == brute(documents(), 35)
 
 
+def test_a_template_with_a_changing_word(spark, monkeypatch):
+    """Windows that share all but a word or two crowd one shard at every length of run but the last."""
+    r = random.Random(5)
+    head, tail = sentence(r, 34), sentence(r, 40)
+    rows = [(n, f"{head} {n % 90} {sentence(r, 3)} {tail} {n % 70}", "en", "s", 0) for n in range(120)]
+    monkeypatch.setattr(substrings, "SHARD", 5)
+    assert result(substrings.deduplicate(frame(spark, rows))) == brute(rows, 35)
+
+
+def test_every_removed_window_is_found_by_the_index(spark, monkeypatch):
+    """With an index that finds nothing, nothing is removed: no other path decides."""
+    monkeypatch.setattr(substrings, "search", lambda rows, window=35: rows.select(*substrings.SEGMENT, rows["copies"].alias("mask")).where("mask < 0"))
+    assert {r["n_removed"] for r in substrings.deduplicate(frame(spark)).collect()} == {0}
+
+
+def test_a_text_of_a_megabyte(spark):
+    r = random.Random(6)
+    long = sentence(r, 170_000)
+    rows = [(1, long, "en", "s", 0), (2, sentence(r, 50) + " " + " ".join(long.split()[90_000:90_060]), "en", "s", 0)]
+    assert result(substrings.deduplicate(frame(spark, rows))) == brute(rows, 35)
+
+
 def test_empty_table(spark):
     assert substrings.deduplicate(frame(spark, [])).collect() == []
 
@@ -45,7 +70,8 @@ def test_index_counts_runs():
     symbols = np.concatenate([np.append(s, 0) for s in segments])
     fm = substrings.FMIndex(symbols, np.repeat(weights, [len(s) + 1 for s in segments]), 12)
     ends = np.array([30, 20, 90, 100, 140])
-    got = fm.matching(symbols, ends, 12)
+    got = fm.matching(symbols, ends, np.full(5, 12))
+    assert fm.matching(symbols, ends, np.array([1, 1, 2, 12, 12])).tolist() == np.minimum(got, [1, 1, 2, 12, 12]).tolist()
     for e, n in zip(ends.tolist(), got.tolist(), strict=True):
         def count(k):
             run = symbols[e - k : e].tolist()
