@@ -10,7 +10,8 @@ bytes.
 Defined results: lines are runs between line feeds, and empty lines belong to the line before them; null and empty texts
 have no lines and stay as they are; texts of fewer than LEAST lines stay; texts that lose all lines become empty but for
 line feeds before the first, and their rows stay; of rows that repeat one keeps its chunks; null doc_ids come first; an
-empty table gives an empty result; other columns are kept, and n_chars, if there, follows a changed text.
+empty table gives an empty result; other columns, whatever their names, are kept, and n_chars, if there, follows a changed
+text. Texts of any length are cut whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, cut_by, table, tuned
+from .common import cut, cut_by, spare, table, tuned
 from .textscan import Words, chunks, mix
 
 LEAST = 2
@@ -63,7 +64,7 @@ def _chunk_rows(texts: DataFrame) -> DataFrame:
 
 def repeated_chunks(texts: DataFrame) -> DataFrame:
     """(row, place) of chunks that an earlier one equals. texts: the row number, doc_id, text."""
-    found = _chunk_rows(texts)
+    found = cut(_chunk_rows(texts), "places")
     twice = cut(found.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g"), "twice")  # cut, so that the join of a common one can be split
     lists = found.join(twice, ["h", "g"], "left_semi").groupBy(ROW).agg(F.collect_list("place").alias("places"))  # at most a text's chunks
 
@@ -86,12 +87,13 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs without repeated chunks; with counts, also __n_lines and __n_removed."""
+    """docs without repeated chunks; with counts, two more columns at the end: lines, and lines removed."""
     tuned(docs.sparkSession)
-    rows = cut_by(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW, "lines")
-    gone = repeated_chunks(rows.select(ROW, "doc_id", "text")).groupBy(ROW).agg(F.collect_list("place").alias("__gone"))  # at most a text's chunks
-    names = [*docs.columns, *(["__n_lines", "__n_removed"] * counts)]
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("__n_lines", T.LongType()), T.StructField("__n_removed", T.LongType())] * counts)])
+    row, gone_at = spare(docs.columns, ROW), spare(docs.columns, "__gone")
+    rows = cut_by(docs.withColumn(row, F.monotonically_increasing_id()), row, "lines")
+    gone = repeated_chunks(rows.select(F.col(row).alias(ROW), "doc_id", "text")).groupBy(F.col(ROW).alias(row)).agg(F.collect_list("place").alias(gone_at))  # at most a text's chunks
+    names = [*docs.columns, *([spare(docs.columns, x) for x in ("n_lines", "n_removed")] * counts)]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names[len(docs.columns) :])])
     at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +125,18 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
                 cols[counted] = pa.array(sizes, cols[counted].type)
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(lines), pa.array(lost)] * counts)], names=names)
 
-    return rows.join(gone, ROW, "left").select(*docs.columns, "__gone").mapInArrow(run, schema)
+    return rows.join(gone, row, "left").select(*docs.columns, gone_at).mapInArrow(run, schema)
 
 
 def without_emptied(docs: DataFrame, given: DataFrame) -> DataFrame:
     """docs without those that have lost all lines. Null texts stay, and those of ids that have a text without lines in given, where docs come from."""
     bare = F.translate("text", "\n", "") == ""
-    were = given.where(bare).select(F.col("doc_id").alias("__id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    own = spare(docs.columns, "__id")
+    were = given.where(bare).select(F.col("doc_id").alias(own)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own))
     return docs.where(F.coalesce(~bare, F.lit(True))).unionByName(docs.where(bare).join(were, same, "left_semi"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -47,10 +47,30 @@ def test_against_brute_force(spark):
         rows.append((n, "\n".join([sentence(r, 5) for _ in range(r.randrange(3))] + pool[at : at + r.randrange(1, 5)] + [""] * r.randrange(2) + pool[:3]) + "\n" * r.randrange(3), "en", "s", 0))
     df = frame(spark, rows).coalesce(1).withColumn("row", F.monotonically_increasing_id()).cache()
     want = brute([(x["row"], x["doc_id"], x["text"]) for x in df.collect()])
-    got = lines.dedup_lines(df, counts=True).collect()
+    clashing = df.withColumns({c: F.lit("clash") for c in ("__gone", "__loom_row", "n_lines", "__id")})
+    out = lines.dedup_lines(clashing, counts=True)
+    assert out.columns[:-2] == clashing.columns and out.columns[-2:] == ["n_lines_", "n_removed"]
+    got = out.collect()
     assert {x["row"]: x["text"] for x in got} == want
-    assert sum(x["__n_removed"] for x in got) > 50
-    assert all(x["n_chars"] == len(x["text"]) for x in got if x["__n_removed"])
+    assert sum(x["n_removed"] for x in got) > 50 and {x["__gone"] for x in got} == {"clash"}
+    assert all(x["n_chars"] == len(x["text"]) for x in got if x["n_removed"])
+
+
+def test_a_text_of_a_megabyte(spark):
+    long = "\n".join(f"line {n} of many in a text that does not end" for n in range(26_000))
+    rows = [(1, long, "en", "s", 0), (2, "new\n" + long[500_000:600_000] + "\nend", "en", "s", 0)]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, rows, clash=False)).collect()}
+    assert got[1] == long and len(got[2]) < 200
+
+
+def test_tables_leave_the_catalog(spark):
+    from recordloom.llm.common import cut_by, drop
+
+    before = spark.catalog.listTables()
+    made = cut_by(spark.range(10), "id", "numbers")
+    assert made.count() == 10 and len(spark.catalog.listTables()) == len(before) + 1
+    drop(made)
+    assert len(spark.catalog.listTables()) == len(before)
 
 
 def test_boundaries_shift_with_inserted_lines():
