@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the format.
+# Rules of the importer. Fixed values.
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 TRUTH = r"(?i)^(true|false|yes|no)$"
@@ -57,3 +59,61 @@ def preview(cell: Column, most: int = PREVIEW) -> Column:
 def like_literal(text: str) -> str:
     """A LIKE pattern for a literal substring."""
     return "%" + re.sub(r"([\\%_])", r"\\\1", text.strip()[:100]) + "%"
+
+
+def normalize_email(address: Column) -> Column:
+    return F.lower(F.trim(address))
+
+
+def looks_like_email(address: Column) -> Column:
+    return (F.length(address) <= 254) & address.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+
+
+def loose_name(name: Column) -> Column:
+    """Letters and digits in lower case, to match columns with fields."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+#: What a guessed type asks of a field. Fixed values.
+FIELDS = {
+    "text": {"type": "string"},
+    "number": {"type": "number"},
+    "whole number": {"type": "integer"},
+    "true or false": {"type": "boolean"},
+    "date": {"type": "string", "format": "date"},
+    "date and time": {"type": "string", "format": "date-time"},
+}
+
+
+def draft_schema(rows: DataFrame, id_column: str, left_out: tuple[str, ...] = ()) -> dict:
+    """A schema for a table's records: a field for each column that is not blank throughout, required where it never is. One pass over the rows; a row for each column comes to the driver."""
+    columns = [c for c in rows.columns if c != id_column and c not in left_out]
+    kinds = {r["column"]: r["kind"] for r in guess_types(rows, columns).collect()}
+    blank = rows.agg(*(F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "").alias(f"b{n}") for n, c in enumerate(columns)), F.count("*").alias("all")).first()
+    some = [(c, blank[f"b{n}"] == 0) for n, c in enumerate(columns) if blank[f"b{n}"] < blank["all"]]
+    return {"type": "object", "properties": {field_name(c): FIELDS[kinds[c]] for c, _ in some}, "required": [field_name(c) for c, full in some if full]}
+
+
+def preview_data(data: Column, most: int = PREVIEW) -> Column:
+    """JSON objects with their members cut for a table: long strings end in an ellipsis, long JSON becomes its beginning under $preview, file references stay; null for what is no object."""
+
+    def cut(x: object) -> object:
+        if isinstance(x, str):
+            return x if len(x) <= most else x[:most] + "…"
+        if isinstance(x, dict) and "$file" in x:
+            return x
+        raw = json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+        return x if len(raw) <= most else {"$preview": raw[:most] + "…"}
+
+    def one(text: str | None) -> str | None:
+        try:
+            x = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        return json.dumps({k: cut(v) for k, v in x.items()}, ensure_ascii=False, separators=(",", ":")) if isinstance(x, dict) else None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run(data)

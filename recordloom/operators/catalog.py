@@ -41,11 +41,19 @@ def schema_intervals(rows: DataFrame) -> DataFrame:
     return changed.withColumn("to_seq", F.lead("seq").over(w)).withColumnRenamed("seq", "from_seq")
 
 
-def versions_in(intervals: DataFrame, versions: DataFrame) -> DataFrame:
-    """Versions inside half-open intervals of their collection. The equality spreads the join; the range is checked inside."""
-    v = versions.select(F.col("collection").alias("_c"), "seq", "version", "created")
-    inside = (F.col("collection") == F.col("_c")) & (F.col("seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
-    return intervals.join(v, inside).drop("_c")
+def versions_in(intervals: DataFrame, versions: DataFrame, width: int = 64) -> DataFrame:
+    """Versions inside half-open intervals of their collection.
+
+    Sequence numbers are cut into buckets of width, open intervals end with their collection's newest version, and an
+    interval goes to the buckets that it touches: a version meets intervals of its own bucket only, so a collection of many
+    versions and intervals costs what it returns.
+    """
+    v = versions.select(F.col("collection").alias("_c"), "seq", "version", "created", F.floor(F.col("seq") / width).alias("_b"))
+    newest = versions.groupBy(F.col("collection").alias("_c")).agg(F.max("seq").alias("_top"))
+    closed = intervals.join(newest, F.col("collection") == F.col("_c")).withColumn("_end", F.least(F.coalesce(F.col("to_seq") - 1, F.col("_top")), F.col("_top")))
+    dealt = closed.where(F.col("from_seq") <= F.col("_end")).withColumn("_d", F.explode(F.sequence(F.floor(F.col("from_seq") / width), F.floor(F.col("_end") / width)))).drop("_c")
+    inside = (F.col("collection") == F.col("_c")) & (F.col("_d") == F.col("_b")) & F.col("seq").between(F.col("from_seq"), F.col("_end"))
+    return dealt.join(v, inside).drop("_c", "_b", "_d", "_top", "_end")
 
 
 def first_of_each(rows: DataFrame, by: str, order: str, limit: int) -> DataFrame:
@@ -122,3 +130,61 @@ def org_page(rows: DataFrame, tag: str | None, text: str, by: str = "records") -
     rows = rows.where(F.contains(hay, F.lit(text.strip().lower())))
     order = {"records": [F.desc(F.coalesce("records", F.lit(-1))), F.asc("name")], "recent": [F.desc("created"), F.asc("name")], "name": [F.asc("name")]}[by]
     return rows.orderBy(*order)
+
+
+def with_tag(rows: DataFrame, summary: str, tag: str) -> DataFrame:
+    """Rows whose JSON summary lists a tag."""
+    return rows.where(F.array_contains(F.from_json(F.get_json_object(summary, "$.tags"), "array<string>"), tag))
+
+
+def in_list(rows: DataFrame, column: str, listed: str) -> DataFrame:
+    """Rows whose column is in a JSON list, which comes with a request and is small."""
+    kind = rows.schema[column].dataType.simpleString()
+    wanted = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(listed), f"array<{kind}>")).alias(column))
+    return rows.join(F.broadcast(wanted.distinct()), column, "left_semi")
+
+
+def in_pairs(rows: DataFrame, columns: tuple[str, str], listed: str) -> DataFrame:
+    """Rows whose two columns are a pair of a JSON list of pairs, which comes with a request and is small."""
+    wanted = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(listed), "array<array<bigint>>")).alias("_p")).select(*(F.col("_p")[n].alias(c) for n, c in enumerate(columns)))
+    return rows.join(F.broadcast(wanted.distinct()), list(columns))
+
+
+def failed_pushes(versions: DataFrame, collections: DataFrame, organizations: DataFrame, failed: Column, limit: int) -> DataFrame:
+    """The newest failed pushes with their collection and its owner."""
+    return versions.where(failed).join(collections, "collection").join(organizations, "org").orderBy(F.desc("created"), "version").limit(limit)
+
+
+def owners_of_lost(tombstones: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Tombstones with their owner's name, if the owner is known."""
+    return tombstones.join(organizations, "org", "left")
+
+
+def lost_ids(tombstones: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Ids that were dropped and that no live row has taken again."""
+    return tombstones.select(key).distinct().join(live.select(key), key, "left_anti")
+
+
+def conditional(rows: DataFrame, sums: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    """A row of counts, or of sums of a column, under conditions."""
+    cell = lambda on, of: F.count_if(on) if of is None else F.coalesce(F.sum(F.when(on, of)), F.lit(0))
+    return rows.agg(*(cell(on, of).alias(n) for n, (on, of) in sums.items()))
+
+
+def status_counts(rows: DataFrame, by: list[Column]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row with the number of rows of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias(name))  # one row
+        out = one if out is None else out.join(F.broadcast(one), F.lit(True))
+    return out
+
+
+def org_version_sums(versions: DataFrame, collections: DataFrame) -> DataFrame:
+    """Versions of each organization, and their records and bytes."""
+    rows = versions.join(collections.select("collection", "org"), "collection")
+    return rows.groupBy("org").agg(F.count("*").alias("versions"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 PLACE = ["hash", "collection", "type", "id"]
 
 
@@ -13,22 +17,55 @@ def events_of(references: DataFrame, hashes: Column) -> DataFrame:
     return references.where(hashes).orderBy("hash", "collection", "seq", "op")
 
 
-def presence(references: DataFrame) -> DataFrame:
+def _turns(references: DataFrame, place: list[str]) -> DataFrame:
+    """Events with the one before at their place."""
+    return references.withColumn("_b", F.lag("op").over(Window.partitionBy(*place).orderBy("seq", "op")))
+
+
+def presence(references: DataFrame, place: list[str] = PLACE) -> DataFrame:
     """Half-open intervals [from_seq, to_seq) in which a place holds a hash: repeated adds go on, removals of nothing go."""
-    w = Window.partitionBy(*PLACE).orderBy("seq", "op")
-    turns = references.withColumn("_b", F.lag("op").over(w)).where((F.col("op") != F.coalesce("_b", F.lit("-"))))
-    return turns.withColumn("to_seq", F.lead("seq").over(w)).where("op = '+'").select(*PLACE, F.col("seq").alias("from_seq"), "to_seq")
-
-
-def into_forks(intervals: DataFrame, forks: DataFrame, depth: int) -> DataFrame:
-    """Intervals carried into forks (child, parent, at): a fork begins with what its parent held at that version. depth bounds a chain."""
-    out, last = intervals, intervals
-    edges = forks.select("child", F.col("parent").alias("collection"), "at")
-    for _ in range(depth):
-        held = (F.col("from_seq") <= F.col("at")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("at")))
-        last = last.join(edges, "collection").where(held).select("hash", F.col("child").alias("collection"), "type", "id", F.lit(0).cast("long").alias("from_seq"), F.lit(None).cast("long").alias("to_seq"))
-        out = out.unionByName(last)
-    return out.distinct()
+    turns = _turns(references, place).where(F.col("op") != F.coalesce("_b", F.lit("-")))
+    w = Window.partitionBy(*place).orderBy("seq", "op")
+    return turns.withColumn("to_seq", F.lead("seq").over(w)).where("op = '+'").select(*place, F.col("seq").alias("from_seq"), "to_seq")
+
+
+def inherited_removals(references: DataFrame, place: list[str] = PLACE) -> DataFrame:
+    """The first removal at each place of what it had not added: a fork dropping what it inherited."""
+    lone = _turns(references, place).where((F.col("op") == "-") & (F.coalesce("_b", F.lit("-")) == "-"))
+    return lone.groupBy(*place).agg(F.min("seq").alias("removed"))
+
+
+def into_forks(references: DataFrame, forks: DataFrame) -> DataFrame:
+    """Presence intervals, carried into forks (child, parent, at, private) of any depth.
+
+    references have a column set (public or private). A fork's version 1 holds what its parent held at the fork point, until
+    the fork removes it; private places are carried only into forks made with the private set, and a place that is already
+    there from version 1 is not carried again. Forks are followed level by level until a level adds nothing.
+    """
+    place = [*PLACE, "set"]
+    own = settled(presence(references, place))
+    removed = settled(inherited_removals(references, place))
+    edges = forks.select("child", F.col("parent").alias("collection"), "at", "private")
+    levels, started = [own], own.where("from_seq = 1").select(*place)
+    while True:
+        held = (F.col("from_seq") <= F.col("at")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("at"))) & ((F.col("set") == "public") | F.col("private"))
+        carried = levels[-1].join(edges, "collection").where(held).select("hash", F.col("child").alias("collection"), "type", "id", "set").distinct()
+        fresh = carried.join(started, place, "left_anti").join(removed, place, "left")
+        fresh = settled(fresh.select(*place, F.lit(1).cast("long").alias("from_seq"), F.col("removed").alias("to_seq")))
+        if not fresh.head(1):
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(fresh)
+        started = started.unionByName(fresh.select(*place))
+
+
+def presence_of(references: DataFrame, forks: DataFrame, hash_: str) -> DataFrame:
+    """Where a record is and was, forks included."""
+    return into_forks(references.where(F.col("hash") == hash_), forks)
+
+
+def presence_summary(intervals: DataFrame) -> DataFrame:
+    """Of each hash: its intervals, those still open, and its collections."""
+    return intervals.groupBy("hash").agg(F.count("*").alias("intervals"), F.count_if(F.col("to_seq").isNull()).alias("open"), F.countDistinct("collection").alias("collections"))
 
 
 def first_seen(references: DataFrame) -> DataFrame:

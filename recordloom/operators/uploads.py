@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schemas import relaxes, valid
+from ..functions.schemas import tightened, valid
 from .versions import KEY
 from .write import carried_over, save
 
@@ -25,7 +25,7 @@ def invalid(records: DataFrame, schemas: dict[str, dict], limit: int | None = 20
 
 def check_upload(upload: DataFrame, head: DataFrame, before: dict[str, dict], after: dict[str, dict], limit: int | None = 20) -> tuple[DataFrame, str]:
     """Problems of an upload and the version bump that it asks for. Records that it does not replace are read again only under schemas that became tighter."""
-    tighter = {t: s for t, s in after.items() if t in before and not relaxes(before[t], s)}
+    tighter = {t: False if s is None else s for t, s in tightened(before, after).items()}  # of a type that went no record may stay
     old = carried_over(head.where(F.col("type").isin(list(tighter))), upload).select(*KEY, "data")
     problems = invalid(upload.where("kind = 'r'").select(*KEY, "data"), after, limit)
     problems = problems.unionByName(invalid(old, tighter, limit)) if tighter else problems
@@ -43,6 +43,22 @@ def run_script(script: Script, reads: list[DataFrame], head: DataFrame, mode: st
     return save(head, script(*reads), mode, scope)
 
 
+def check_report(check: DataFrame) -> DataFrame:
+    """A row with the number of problems a check script found, and whether it failed."""
+    return check.agg(F.count("*").alias("problems")).withColumn("failed", F.col("problems") > 0)
+
+
+def import_plan(rows: DataFrame, decisions: DataFrame, key: str, mode: str = "set") -> tuple[DataFrame, DataFrame, str]:
+    """Rows to import, rows held, and the mode: while any row is held nothing can be removed, so set turns into additions."""
+    held = held_rows(rows, decisions, key)
+    return rows.where("id IS NOT NULL"), held, "additions" if mode == "set" and held.head(1) else mode
+
+
+def each_record(records: DataFrame, check: Callable[[Column], Column], column: str = "data") -> DataFrame:
+    """Records with what a caller's check says of each, where it says anything."""
+    return records.withColumn("problem", check(F.col(column))).where("problem IS NOT NULL")
+
+
 def failed(check: DataFrame) -> bool:
     """Whether a check script found a problem: any row is one."""
     return bool(check.head(1))

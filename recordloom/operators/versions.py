@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 KEY = ["type", "id"]
 
 
@@ -81,8 +83,25 @@ def page(records: DataFrame, limit: int, bounds: Column | None = None) -> DataFr
     return (records.where(bounds) if bounds is not None else records).orderBy(*KEY).limit(limit)
 
 
+def positions(records: DataFrame, within: list[str] = ()) -> DataFrame:
+    """Adds `position`, from 0 in key order, counted anew for each value of the columns within.
+
+    Rows are counted inside key ranges, which are settled first as they are sampled, and a small table of the ranges' totals
+    is added, so no task holds all rows.
+    """
+    within = list(within)
+    parts = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(records.repartitionByRange(parts, *KEY).withColumn("_p", F.spark_partition_id()))
+    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p", *within).orderBy(*KEY)))
+    order = Window.partitionBy(*(within or [F.lit(1)])).orderBy("_p")  # a row for each range
+    sizes = ranged.groupBy(*within, "_p").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(order) - F.col("_c")).drop("_c")
+    return local.join(sizes, [*within, "_p"]).withColumn("position", F.col("_n") + F.col("_before") - 1).drop("_p", "_n", "_before")
+
+
 def offset_page(records: DataFrame, offset: int, limit: int) -> DataFrame:
-    return records.orderBy(*KEY).offset(offset).limit(limit)
+    """A page by position, however deep: positions come from counts of ranges, and only the page's rows are sorted together."""
+    placed = positions(records).where(F.col("position").between(offset, offset + limit - 1))
+    return placed.orderBy("position").drop("position")
 
 
 def export(records: DataFrame) -> DataFrame:
@@ -160,18 +179,36 @@ def rank_of(records: DataFrame, type_: str, id_: str) -> DataFrame:
 
 
 def entry_at(records: DataFrame, position: int) -> DataFrame:
-    return records.orderBy(*KEY).offset(position).limit(1)
+    return offset_page(records, position, 1)
 
 
 def marks(records: DataFrame, step: int) -> DataFrame:
-    """Every step-th record of a type with its position: ranks come from counts per range, not from one sorted task."""
-    spark = records.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = records.select(*KEY).repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p", "type").orderBy("id")))
-    sizes = ranged.groupBy("type", "_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("type").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return local.join(before, ["type", "_p"]).withColumn("position", F.col("_n") + F.col("_before") - 1).where(F.col("position") % step == 0).select(*KEY, "position")
+    """Every step-th record of a type with its position."""
+    return positions(records.select(*KEY), ["type"]).where(F.col("position") % step == 0).select(*KEY, "position")
+
+
+def kept_version(retained: list[tuple[int, int]], version: str = "commit") -> Column:
+    """Whether a version is kept."""
+    return reduce(lambda a, b: a | b, [F.col(version).between(lo, hi) for lo, hi in retained], F.lit(False))
+
+
+def files_to_read(files: DataFrame, start: tuple[str, str] | None = None, stop: tuple[str, str] | None = None) -> DataFrame:
+    """files (first_type, first_id, last_type, last_id) whose keys may lie in a range; others are skipped unread."""
+    out = files
+    if start:
+        t, k = start
+        out = out.where((F.col("last_type") > t) | ((F.col("last_type") == t) & (F.col("last_id") >= k)))
+    if stop:
+        t, k = stop
+        out = out.where((F.col("first_type") < t) | ((F.col("first_type") == t) & (F.col("first_id") < k)))
+    return out
+
+
+def type_details(records: DataFrame, schemas: DataFrame, shown: str | None = None) -> DataFrame:
+    """A version in detail: (type, count, bytes, schema) of each type that has a schema, or of the one that is shown."""
+    n = counts(live(records))
+    own = schemas if shown is None else schemas.where(F.col("type") == shown)
+    return own.select("type", F.col("hash").alias("schema")).join(n, "type", "left").select("type", F.coalesce("records", F.lit(0)).alias("count"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "schema")
 
 
 def merge_sets(public: DataFrame, private: DataFrame, member: bool) -> DataFrame:
@@ -187,11 +224,13 @@ def diff_sets(before: DataFrame, after: DataFrame, moves: bool = False) -> DataF
     return a.join(b, KEY, "full_outer").where(differs | ~F.col("before_set").eqNullSafe(F.col("after_set")) if moves else differs)
 
 
-def visible_spans(entries: DataFrame, retained: list[tuple[int, int]]) -> DataFrame:
-    """Entries that some kept version sees: an entry of commit c is read by versions c to the key's next commit less one; leading removals go."""
+def visible_spans(entries: DataFrame, retained: list[tuple[int, int]], leading: bool = True) -> DataFrame:
+    """Entries that some kept version sees: an entry of commit c is read by versions c to the key's next commit less one; with leading, removals with nothing before them go."""
     w = Window.partitionBy(*KEY).orderBy("commit")
     rows = entries.withColumn("_next", F.lead("commit").over(w))
     seen = reduce(lambda a, b: a | b, [(F.col("commit") <= hi) & (F.col("_next").isNull() | (F.col("_next") > lo)) for lo, hi in retained], F.lit(False))
+    if not leading:
+        return rows.where(seen).drop("_next")
     kept = rows.where(seen).withColumn("_first", F.row_number().over(w) == 1)
     return kept.where(~(F.col("_first") & (F.col("kind") == "x"))).drop("_next", "_first")
 

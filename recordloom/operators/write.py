@@ -51,9 +51,9 @@ def carried_over(head: DataFrame, upload: DataFrame) -> DataFrame:
     return head.join(upload.select(*KEY), KEY, "left_anti")
 
 
-def rebuild(entries: DataFrame, retained: list[tuple[int, int]], takedown: Column | None = None) -> DataFrame:
-    """Entries thinned to what kept versions see; records that a takedown names are withheld."""
-    kept = visible_spans(entries, retained)
+def rebuild(entries: DataFrame, retained: list[tuple[int, int]], takedown: Column | None = None, leading: bool = True) -> DataFrame:
+    """Entries thinned to what kept versions see; records that a takedown names are withheld. leading: removals with nothing older go, which is right if no older entries are left out."""
+    kept = visible_spans(entries, retained, leading)
     return kept.withColumn("kind", F.when((F.col("kind") == "r") & takedown, "w").otherwise(F.col("kind"))) if takedown is not None else kept
 
 
@@ -152,6 +152,63 @@ def intersect_ranges(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list
     return normalize_ranges([(max(x[0], y[0]), min(x[1], y[1])) for x in a for y in b])
 
 
+def visible_files(public: DataFrame, private: DataFrame, member: bool, limit: int) -> DataFrame:
+    """Files (file) of the sets that a reader may see, each once, in order, at most limit."""
+    shown = public.select("file").unionByName(private.select("file")) if member else public.select("file")
+    return shown.distinct().orderBy("file").limit(limit)
+
+
+def merge_cumulative(files: DataFrame, added: DataFrame) -> DataFrame:
+    """All files (file, size) that any version has named: those so far and what a version adds, each once."""
+    return files.select("file", "size").unionByName(added.select("file", "size").join(files.select("file"), "file", "left_anti").dropDuplicates(["file"]))
+
+
+def usage_rollup(events: DataFrame, batch: str, keys: list[str]) -> DataFrame:
+    """Sums of amounts by keys, rebuilt from a log that may hold a batch more than once: a batch's hash counts once."""
+    return events.dropDuplicates([batch]).groupBy(*keys).agg(F.sum("amount").alias("amount"))
+
+
+def add_usage(rollup: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """A rollup after a batch is added to it."""
+    return rollup.unionByName(batch.groupBy(*keys).agg(F.sum("amount").alias("amount")).select(rollup.columns)).groupBy(*keys).agg(F.sum("amount").alias("amount"))
+
+
+def collection_stats(files: DataFrame) -> DataFrame:
+    """files (collection, file, entries, line_bytes, stored_bytes), which versions share: of each collection its files, entries and bytes, a file counted once."""
+    own = files.groupBy("collection", "file").agg(*(F.max(c).alias(c) for c in ("entries", "line_bytes", "stored_bytes")))
+    return own.groupBy("collection").agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("entries", "line_bytes", "stored_bytes")))
+
+
+def changed_fields(before: Column, after: Column) -> Column:
+    """Names of the members in which two maps differ, in order; native."""
+    names = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
+    return F.filter(names, lambda f: ~F.try_element_at(before, f).eqNullSafe(F.try_element_at(after, f)))
+
+
+def diff_counts(changed: DataFrame) -> DataFrame:
+    """Changes of each type and kind."""
+    return changed.groupBy("type", "change").agg(F.count("*").alias("n"))
+
+
+def account(changes: DataFrame, tallies: dict[str, Column]) -> DataFrame:
+    """A row of sums over changes, one for each tally: accounting of every change in the pass that reads them."""
+    return changes.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in tallies.items()))
+
+
+def pack(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Objects (hash, line) that a version reaches and its base does not, each once."""
+    return after.select("hash", "line").dropDuplicates(["hash"]).join(before.select("hash").distinct(), "hash", "left_anti")
+
+
+def receive(packed: DataFrame, target: DataFrame, have: DataFrame) -> DataFrame:
+    """What does not hold of a pack against the version it is to complete: (hash, problem) of objects whose bytes hash otherwise, that the version does not name, or that it names and nobody has."""
+    bad = packed.where(F.sha2(F.col("line").cast("binary"), 256) != F.col("hash")).select("hash", F.lit("bytes").alias("problem"))
+    stray = packed.join(target.select("hash"), "hash", "left_anti").select("hash", F.lit("not named").alias("problem"))
+    known = packed.select("hash").unionByName(have.select("hash"))
+    lost = target.select("hash").distinct().join(known, "hash", "left_anti").select("hash", F.lit("missing").alias("problem"))
+    return bad.unionByName(stray).unionByName(lost)
+
+
 def verify_records(records: DataFrame) -> DataFrame:
     """Rows whose line does not hash or measure to what the entry says."""
     return records.where((F.sha2(F.col("line").cast("binary"), 256) != F.col("hash")) | (F.octet_length("line") != F.col("size")))

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,13 +160,66 @@ class File:
         return out
 
 
-def write_files(rows: DataFrame, by: str, mark: str) -> DataFrame:
-    """rows (by, kind, type, id, line) as unlabeled files, one for each value of by, which holds MOST_ENTRIES rows at most: by, id, entries, data."""
+def write_files(rows: DataFrame, by: str, mark: str, labeled: bool = False) -> DataFrame:
+    """rows (by, kind, type, id, line; for labeled files also commit, and hash and size of withheld ones) as files, one for each value of by, which holds MOST_ENTRIES rows at most: by, file_id, entries, data. layouts.files_cut gives values of by that are bounded."""
+    names = ["kind", "type", "id", "line", *(["commit", "hash", "size"] * labeled)]
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(zip(group["kind"], group["type"], group["id"], group["line"], strict=True), key=lambda r: (r[1].encode(), r[2].encode()))
-        id_, content, data = build((Row(*r) for r in ordered), False, mark)
+        cells = (group[c].astype(object).where(group[c].notna(), None) for c in names)
+        made = [Row(*r) for r in zip(*cells, strict=True)]
+        made = [Row(r.kind, r.type, r.id, r.line, None if r.commit is None else int(r.commit), r.hash, None if r.size is None else int(r.size)) for r in made]
+        id_, content, data = build(sorted(made, key=lambda r: (r.type.encode(), r.id.encode(), r.commit or 0)), labeled, mark)
         return pd.DataFrame([(key[0], id_, content["entries"], data)], columns=[by, "file_id", "entries", "data"])
 
     kind = rows.schema[by].dataType.simpleString()
-    return rows.select(F.col(by), "kind", "type", "id", "line").groupBy(by).applyInPandas(one, f"{by} {kind}, file_id string, entries long, data binary")
+    return rows.select(F.col(by), *names).groupBy(by).applyInPandas(one, f"{by} {kind}, file_id string, entries long, data binary")
+
+
+def lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries (file_id, type, id, kind, hash, line) of keys (type, id) in files (file_id, data, first, last: structs of type and id): files that cannot hold a key are not opened, and of others the key blocks that may."""
+    t, i = F.col("k.type"), F.col("k.id")
+    inside = (F.struct(t, i) >= F.struct("f.first.type", "f.first.id")) & (F.struct(t, i) <= F.struct("f.last.type", "f.last.id"))
+    dealt = files.alias("f").join(F.broadcast(keys.alias("k")), inside).groupBy("f.file_id").agg(F.first("f.data").alias("data"), F.collect_set(F.struct(t.alias("type"), i.alias("id"))).alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, data, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f = File(data)
+                out += [(name, e[1], e[2], e[0], e[3], f.line(e)) for k in own if f.covers(k["type"], k["id"]) for e in f.find(k["type"], k["id"])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["file_id", "type", "id", "kind", "hash", "line"])
+
+    return dealt.mapInArrow(run, "file_id string, type string, id string, kind string, hash string, line string")
+
+
+def scan_files(files: DataFrame) -> DataFrame:
+    """Every entry (file_id, type, id, kind, hash, commit) of files (file_id, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string()] * 5 + [pa.int64()]
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = [(name, e[1], e[2], e[0], e[3], e[7] if len(e) > 7 else None) for e in File(data).entries()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["file_id", "type", "id", "kind", "hash", "commit"])
+
+    return files.select("file_id", "data").mapInArrow(run, "file_id string, type string, id string, kind string, hash string, commit long")
+
+
+def file_problems(files: DataFrame) -> DataFrame:
+    """What does not hold of files (file_id, data): file_id, problem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    f = File(data)
+                    out += [(name, p) for p in f.problems()] + [(name, "id")] * (f.id != name)
+                except (ValueError, OSError, EOFError, zlib.error, KeyError) as e:
+                    out.append((name, type(e).__name__))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["file_id", "problem"])
+
+    return files.select("file_id", "data").mapInArrow(run, "file_id string, problem string")

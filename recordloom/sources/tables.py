@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import fresh_folder
+
 #: Rows of a SQLite or XLSX file that are in memory at once.
 BATCH = 10_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -32,14 +34,32 @@ def sqlite_tables(path: str) -> list[str]:
 
 
 def _batched(spark: SparkSession, names: list[str], rows: Iterator[tuple]) -> DataFrame:
-    """Text columns out of rows, sent in batches; the file is on the driver's disk."""
+    """Text columns out of rows of a file on the driver's disk, written in batches to the shared folder as they come; the result reads these, so neither plan nor driver grows with the file."""
     schema = ", ".join(f"`{n}` string" for n in names)
-    out, held = spark.createDataFrame([], schema), []
+    where, held, n = fresh_folder(spark, "import"), [], 0
+
+    def kept() -> None:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(where)
+
     for r in rows:
         held.append(tuple(None if v is None else str(v) for v in r))
         if len(held) == BATCH:
-            out, held = out.unionByName(spark.createDataFrame(held, schema)), []
-    return out.unionByName(spark.createDataFrame(held, schema)) if held else out
+            kept()
+            held, n = [], n + 1
+    if held or not n:
+        kept()
+    return spark.read.schema(schema).parquet(where)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, fetch: int = 2000, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of a database, Postgres for one: by a server-side cursor of fetch rows, and with a whole-number key in as many ranges of it as parts, each read by a task of its own."""
+    options = {"fetchsize": str(fetch), **(properties or {})}
+    if key is None:
+        return spark.read.jdbc(url, table, properties=options)
+    ends = spark.read.jdbc(url, f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {table}) ends", properties=options).first()  # one row
+    if ends[0] is None:
+        return spark.read.jdbc(url, table, properties=options)
+    return spark.read.jdbc(url, table, column=key, lowerBound=int(ends[0]), upperBound=int(ends[1]) + 1, numPartitions=parts, properties=options)
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
