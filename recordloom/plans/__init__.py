@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-from . import catalog, functions, provenance, upkeep, uploads, versions, write  # noqa: F401  registers
+from . import catalog, files, functions, provenance, rules, streams, upkeep, uploads, versions, write  # noqa: F401  registers
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -32,14 +32,12 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
 @query("F6_tag_membership", BASE + "SELECT collection FROM collections WHERE list_contains([tag, 'org' || CAST(org AS VARCHAR)], 'org4')")
 def tag_membership(spark: SparkSession, sf: str) -> DataFrame:
     summary = F.to_json(F.struct(F.array("tag", F.concat(F.lit("org"), F.col("org").cast("string"))).alias("tags")))
-    tags = F.from_json(F.get_json_object(summary, "$.tags"), "array<string>")
-    return collections(spark, sf).where(F.array_contains(tags, "org4")).select("collection")
+    return C.with_tag(collections(spark, sf).withColumn("summary", summary), "summary", "org4").select("collection")
 
 
 @query("F7_list_membership", BASE + "SELECT collection, name FROM collections WHERE collection IN (1, 5, 9, 1000000)")
 def list_membership(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = spark.range(1).select(F.explode(F.from_json(F.lit("[1,5,9,1000000]"), "array<bigint>")).alias("collection"))
-    return collections(spark, sf).join(F.broadcast(wanted), "collection", "left_semi").select("collection", "name")
+    return C.in_list(collections(spark, sf), "collection", "[1,5,9,1000000]").select("collection", "name")
 
 
 @query("F13_org_page", BASE + "SELECT collection, name, records FROM collections LEFT JOIN heads USING (collection) WHERE org = 5 AND tag = 'BUILDING' AND contains(lower(name || ' ' || tag), 'customer')")
@@ -67,14 +65,14 @@ def schema_users(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J9_failed_pushes", BASE + "SELECT version, collection, name, org_name FROM versions JOIN collections USING (collection) JOIN organizations USING (org) WHERE message = '1-URGENT' ORDER BY created DESC, version LIMIT 20")
 def failed_pushes(spark: SparkSession, sf: str) -> DataFrame:
-    v = versions(spark, sf).where("message = '1-URGENT'")
-    return v.join(collections(spark, sf), "collection").join(organizations(spark, sf), "org").orderBy(F.desc("created"), "version").limit(20).select("version", "collection", "name", "org_name")
+    rows = C.failed_pushes(versions(spark, sf), collections(spark, sf), organizations(spark, sf), F.col("message") == "1-URGENT", 20)
+    return rows.select("version", "collection", "name", "org_name")
 
 
-@query("J10_tombstones", BASE + "SELECT collection, org_name FROM (SELECT collection, CASE WHEN collection % 2 = 0 THEN org END AS org FROM collections WHERE collection % 11 = 0) LEFT JOIN organizations USING (org)")
+@query("J10_tombstones", BASE + "SELECT collection, org_name FROM (SELECT collection, CASE WHEN collection % 2 = 0 THEN org END AS org FROM collections) LEFT JOIN organizations USING (org)")
 def tombstones(spark: SparkSession, sf: str) -> DataFrame:
-    t = collections(spark, sf).where("collection % 11 = 0").select("collection", F.when(F.col("collection") % 2 == 0, F.col("org")).alias("org"))
-    return t.join(organizations(spark, sf), "org", "left").select("collection", "org_name")
+    t = collections(spark, sf).select("collection", F.when(F.col("collection") % 2 == 0, F.col("org")).alias("org"))
+    return C.owners_of_lost(t, organizations(spark, sf)).select("collection", "org_name")
 
 
 @query("J11_versions_in_intervals", INTERVALS + "SELECT i.collection, i.type, i.hash, v.seq, v.version FROM intervals i JOIN versions v ON v.collection = i.collection AND v.seq >= from_seq AND (to_seq IS NULL OR v.seq < to_seq)")
@@ -84,8 +82,7 @@ def versions_in_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J12_pair_join", BASE + "SELECT collection, seq, version FROM versions JOIN (VALUES (1, 1), (1, 3), (4, 2), (77, 1)) AS p(c, s) ON collection = c AND seq = s")
 def pair_join(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.range(1).select(F.explode(F.from_json(F.lit("[[1,1],[1,3],[4,2],[77,1]]"), "array<array<bigint>>")).alias("p")).select(F.col("p")[0].alias("collection"), F.col("p")[1].alias("seq"))
-    return versions(spark, sf).join(F.broadcast(p), ["collection", "seq"]).select("collection", "seq", "version")
+    return C.in_pairs(versions(spark, sf), ("collection", "seq"), "[[1,1],[1,3],[4,2],[77,1]]").select("collection", "seq", "version")
 
 
 @query("J13_visible_schemas", INTERVALS + "SELECT DISTINCT hash FROM schema_rows s WHERE EXISTS (SELECT 1 FROM collections c WHERE c.collection = s.collection AND public)")
@@ -93,9 +90,9 @@ def visible_schemas(spark: SparkSession, sf: str) -> DataFrame:
     return schema_rows(spark, sf).join(C.visible(collections(spark, sf)), "collection", "left_semi").select("hash").distinct()
 
 
-@query("J14_lost_ids", BASE + "SELECT collection FROM collections c WHERE NOT EXISTS (SELECT 1 FROM versions v WHERE v.collection = c.collection)")
+@query("J14_lost_ids", BASE + "SELECT DISTINCT collection FROM versions t WHERE NOT EXISTS (SELECT 1 FROM collections c WHERE c.public AND c.collection = t.collection)")
 def lost_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return collections(spark, sf).join(versions(spark, sf).select("collection"), "collection", "left_anti").select("collection")
+    return C.lost_ids(versions(spark, sf), C.visible(collections(spark, sf)), "collection")
 
 
 _METRICS = ["click", "error", "purchase", "signup", "view"]
@@ -141,25 +138,22 @@ def facets(spark: SparkSession, sf: str) -> DataFrame:
 @query("A11_conditional_sums", BASE + "SELECT count(*) FILTER (public) AS public, count(*) FILTER (NOT public) AS private, CAST(sum(CASE WHEN public THEN org ELSE 0 END) AS BIGINT) AS weight FROM collections")
 def conditional_sums(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("public")
-    return collections(spark, sf).agg(F.count_if(p).alias("public"), F.count_if(~p).alias("private"), F.sum(F.when(p, F.col("org")).otherwise(0)).alias("weight"))
+    return C.conditional(collections(spark, sf), {"public": (p, None), "private": (~p, None), "weight": (p, F.col("org"))})
 
 
 @query("A12_status_counts", BASE + "SELECT message, seq > 5 AS late, count(*) AS n FROM versions GROUP BY ALL")
 def status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return versions(spark, sf).groupBy("message", (F.col("seq") > 5).alias("late")).agg(F.count("*").alias("n"))
+    return C.status_counts(versions(spark, sf), [F.col("message"), (F.col("seq") > 5).alias("late")])
 
 
 @query("A13_totals", BASE + "SELECT (SELECT count(*) FROM collections) AS collections, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM organizations) AS organizations")
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
-    one = n(collections(spark, sf), "collections")
-    return one.join(F.broadcast(n(versions(spark, sf), "versions")), F.lit(True)).join(F.broadcast(n(organizations(spark, sf), "organizations")), F.lit(True))
+    return C.totals({"collections": collections(spark, sf), "versions": versions(spark, sf), "organizations": organizations(spark, sf)})
 
 
 @query("A18_org_version_sums", BASE + "SELECT org, count(*) AS versions, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM versions JOIN collections USING (collection) GROUP BY org")
 def org_version_sums(spark: SparkSession, sf: str) -> DataFrame:
-    rows = versions(spark, sf).join(collections(spark, sf).select("collection", "org"), "collection")
-    return rows.groupBy("org").agg(F.count("*").alias("versions"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+    return C.org_version_sums(versions(spark, sf), collections(spark, sf))
 
 
 @query("A20_profile", "SELECT * FROM (SELECT 'p_brand' AS \"column\", count(DISTINCT p_brand) AS \"values\", CAST(0 AS BIGINT) AS blanks, min(p_brand) AS least, max(p_brand) AS largest, count(DISTINCT p_brand) <= 6 AS listed FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size), count(*) FILTER (p_size IS NULL), min(CAST(p_size AS VARCHAR)), max(CAST(p_size AS VARCHAR)), count(DISTINCT p_size) <= 6 FROM part)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, cells, schemas
+from ..operators import uploads as U
 from ..operators import write as M
 from .fixtures import ENTRIES, entries, table
 from .registry import query
@@ -53,10 +54,13 @@ def key_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return k.where(canonical.cuts(F.col("type"), F.col("id"), F.lit(100), 1000))
 
 
-@query("A20_guessed_types", "SELECT * FROM (VALUES ('c_custkey', 'whole number'), ('c_acctbal', 'number'), ('c_name', 'text'), ('day', 'date')) AS t(\"column\", kind)")
+@query("A20_guessed_types", """WITH c AS (SELECT unnest(['c_custkey', 'c_acctbal', 'c_name', 'day', 'mixed', 'truth']) AS "column", unnest([CAST(c_custkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_name, '2024-02-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0'), CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE CAST(c_custkey AS VARCHAR) END, CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'FALSE' END]) AS v FROM customer)
+SELECT "column", CASE WHEN bool_and(regexp_matches(lower(v), '^(true|false|yes|no)$')) THEN 'true or false' WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN CASE WHEN bool_and(TRY_CAST(v AS DOUBLE) % 1 = 0) THEN 'whole number' ELSE 'number' END WHEN bool_and(regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) THEN 'date' ELSE 'text' END AS kind FROM c GROUP BY "column\"""")
 def guessed(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").withColumn("day", F.lit("2024-02-29"))
-    return cells.guess_types(c, ["c_custkey", "c_acctbal", "c_name", "day"])
+    k = F.col("c_custkey")
+    day = F.concat(F.lit("2024-02-"), F.lpad((1 + k % 28).cast("string"), 2, "0"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_name", day.alias("day"), F.when(k % 9 == 0, "x").otherwise(k.cast("string")).alias("mixed"), F.when(k % 2 == 0, "yes").otherwise("FALSE").alias("truth"))
+    return cells.guess_types(c, c.columns)
 
 
 @query("F8_previews", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS shown FROM documents")
@@ -71,6 +75,6 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(canonical.links(F.col("j"))).alias("l")).select("doc_id", "l.path", "l.hash")
 
 
-@query("X2_check_script", "SELECT count(*) AS problems FROM part WHERE p_retailprice < 0 OR p_size IS NULL")
+@query("X2_check_script", "SELECT count(*) AS problems, count(*) > 0 AS failed FROM part WHERE p_retailprice < 950 OR p_size IS NULL")
 def check_script(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_retailprice < 0 OR p_size IS NULL").agg(F.count("*").alias("problems"))
+    return U.check_report(table(spark, sf, "part").where("p_retailprice < 950 OR p_size IS NULL"))

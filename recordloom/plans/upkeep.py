@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import schemas
 from ..operators import layouts as L
 from ..operators import trees as T
+from ..operators import uploads as U
 from ..operators import versions as V
 from ..operators import write as M
 from ..sources.store import export_lines
@@ -23,9 +25,47 @@ def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return T.leaves(V.state(entries(spark, sf), 20), 3, 6).drop("run")
 
 
-@query("V9_tree_counts", S20 + " SELECT type, count(*) AS count, CAST(sum(size) AS BIGINT) AS bytes FROM S GROUP BY type")
-def tree_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return T.roots(V.state(entries(spark, sf), 20), 3, 6, 2, 16).select("type", "count", "bytes")
+_TREE = (3, 6, 2, 16)
+
+
+def _nodes_sql(level: int, below: str) -> str:
+    """CTEs of a level's nodes over the level below, of types that still have several."""
+    k, bits = level, 3 + 2 * level
+    return f""", p{k} AS (SELECT * FROM {below} WHERE type IN (SELECT type FROM {below} GROUP BY type HAVING count(*) > 1)),
+b{k} AS (SELECT *, CAST('0x' || substring(sha256(last_key), 13, 4) AS INTEGER) % {1 << bits} = 0 AS e, row_number() OVER (PARTITION BY type ORDER BY last_key) AS n FROM p{k}),
+g{k} AS (SELECT *, coalesce(max(CASE WHEN e THEN n END) OVER (PARTITION BY type ORDER BY last_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM b{k}),
+n{k} AS (SELECT type, run, max(last_key) AS last_key, CAST(sum(count) AS BIGINT) AS count, CAST(sum(bytes) AS BIGINT) AS bytes, sha256('{{"e":[' || string_agg('["' || last_key || '","' || hash || '",' || CAST(count AS VARCHAR) || ',' || CAST(bytes AS VARCHAR) || ']', ',' ORDER BY last_key) || '],"l":{k},"t":"node"}}') AS hash FROM (SELECT type, s + ((n - 1 - s) // 16) * 16 AS run, last_key, count, bytes, hash FROM g{k}) GROUP BY type, run)"""
+
+
+def roots_sql(version: int, levels: int = 5) -> str:
+    """A query of the roots of a version's trees, level by level."""
+    below = ["leaf", *(f"n{k}" for k in range(1, levels + 1))]
+    ctes = "".join(_nodes_sql(k, below[k - 1]) for k in range(1, levels + 1))
+    return f"{W}, {state_sql('S', version)}" + _RUNS + ctes + " " + " UNION ALL ".join(f"SELECT type, hash, count, bytes FROM {t} WHERE type IN (SELECT type FROM {t} GROUP BY type HAVING count(*) = 1)" for t in below)
+
+
+@query("M15_tree_roots", roots_sql(20))
+def tree_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return T.roots(V.state(entries(spark, sf), 20), *_TREE)
+
+
+@query("V9_verify_tree", f"SELECT type, CASE type WHEN 'view' THEN 'count' WHEN 'click' THEN 'hash' ELSE 'not told' END AS problem FROM ({roots_sql(20)}) WHERE type IN ('view', 'click', 'error') UNION ALL SELECT 'none', 'no records'")
+def verify_tree(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.state(entries(spark, sf), 20)
+    t = T.roots(s, *_TREE).where("type <> 'error'")
+    t = t.withColumn("count", F.col("count") + F.when(F.col("type") == "view", 1).otherwise(0)).withColumn("hash", F.when(F.col("type") == "click", F.lit("0")).otherwise(F.col("hash")))
+    none = spark.createDataFrame([("none", "0", 1, 1)], "type string, hash string, count long, bytes long")
+    return T.verify_tree(t.unionByName(none), s, *_TREE)
+
+
+@query("M16_commit_roots", f"WITH now AS ({roots_sql(20)}), old AS ({roots_sql(19)}) SELECT now.type, now.hash, now.count, now.bytes, old.hash AS was FROM now LEFT JOIN old ON now.type = old.type WHERE now.hash IS DISTINCT FROM old.hash")
+def commit_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return T.commit_roots(entries(spark, sf), 20, *_TREE)
+
+
+@query("S7_leaf_scan", S20 + _RUNS + " SELECT type, run, id, hash FROM l")
+def leaf_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return T.leaf_rows(V.state(entries(spark, sf), 20), 3, 6).orderBy("type", "run", "id").select("type", "run", "id", "hash")
 
 
 @query("R13_tree_diff", f"{W}, {state_sql('A', 18)}, {state_sql('B', 20)} SELECT coalesce(A.type, B.type) AS type, coalesce(A.id, B.id) AS id, A.hash AS before_hash, B.hash AS after_hash FROM A FULL JOIN B ON A.type = B.type AND A.id = B.id WHERE A.hash IS DISTINCT FROM B.hash")
@@ -67,7 +107,7 @@ def full_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A15_diff_counts", f"{W}, {state_sql('A', 10)}, {state_sql('B', 20)}, X AS (SELECT coalesce(A.type, B.type) AS type, CASE WHEN A.hash IS NULL THEN 'added' WHEN B.hash IS NULL THEN 'removed' ELSE 'updated' END AS change FROM A FULL JOIN B ON A.type = B.type AND A.id = B.id WHERE A.hash IS DISTINCT FROM B.hash) SELECT type, change, count(*) AS n FROM X GROUP BY ALL")
 def diff_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return V.diff(entries(spark, sf), 10, 20).groupBy("type", "change").agg(F.count("*").alias("n"))
+    return M.diff_counts(V.diff(entries(spark, sf), 10, 20))
 
 
 @query("A15_changed_fields", "SELECT p_partkey AS k, field FROM (SELECT p_partkey, unnest(list_filter(['brand', 'size', 'note'], lambda f: (f = 'brand' AND p_partkey % 3 = 0) OR (f = 'size' AND p_partkey % 2 = 0) OR (f = 'note' AND p_partkey % 5 = 0))) AS field FROM part)")
@@ -79,14 +119,15 @@ def changed_fields(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, F.map_from_arrays(F.array(F.lit("note")), F.array(F.lit("x")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
     )
     rows = table(spark, sf, "part").select(k.alias("k"), before.alias("a"), after.alias("b"))
-    names = F.array_union(F.map_keys("a"), F.map_keys("b"))
-    changed = F.filter(names, lambda f: ~F.try_element_at(F.col("a"), f).eqNullSafe(F.try_element_at(F.col("b"), f)))
-    return rows.select("k", F.explode(changed).alias("field"))
+    return rows.select("k", F.explode(M.changed_fields(F.col("a"), F.col("b"))).alias("field"))
 
 
-@query("A21_collection_stats", W + ' SELECT "commit", count(*) AS entries, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM E GROUP BY "commit"')
+@query("A21_collection_stats", W + """, f AS (SELECT DISTINCT type AS collection, "commit" % 7 AS file FROM E), b AS (SELECT "commit" % 7 AS file, count(*) AS entries, CAST(coalesce(sum(size), 0) AS BIGINT) AS line_bytes FROM E GROUP BY 1) SELECT collection, count(*) AS files, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(line_bytes) AS BIGINT) AS line_bytes, CAST(sum(line_bytes // 3) AS BIGINT) AS stored_bytes FROM f JOIN b USING (file) GROUP BY collection""")
 def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return entries(spark, sf).groupBy("commit").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    e = entries(spark, sf).withColumn("file", F.col("commit") % 7)
+    built = e.groupBy("file").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("line_bytes"))
+    files = e.select(F.col("type").alias("collection"), "file", "commit").distinct().join(built, "file").withColumn("stored_bytes", F.floor(F.col("line_bytes") / 3))
+    return M.collection_stats(files)
 
 
 @query("A24_drop_accounting", f"WITH {VERSIONS}, f AS (SELECT collection % 5 AS collection, version % 700 AS file, max(records) AS records, max(bytes) AS bytes FROM versions GROUP BY 1, 2) SELECT file IN (SELECT file FROM f WHERE collection <> 3) AS kept, count(*) AS files, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM f WHERE collection = 3 GROUP BY 1")
@@ -141,10 +182,17 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return L.files_of(entries(spark, sf), 400).groupBy("commit").agg(F.sum("entries").alias("entries"))
 
 
-@query("U3_visible_files", "SELECT DISTINCT file FROM (SELECT source AS file FROM documents UNION ALL SELECT lang FROM documents) ORDER BY file LIMIT 10")
+@query("U3_visible_files", "SELECT DISTINCT file FROM (SELECT sha256(source || lang) AS file FROM documents UNION ALL SELECT sha256(lang) FROM documents) ORDER BY file LIMIT 50")
 def visible_files(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 50 are asked for, which is the operator's cap."""
     d = table(spark, sf, "documents")
-    return d.select(F.col("source").alias("file")).union(d.select("lang")).distinct().orderBy("file").limit(10)
+    return M.visible_files(d.select(F.sha2(F.concat("source", "lang"), 256).alias("file")), d.select(F.sha2("lang", 256).alias("file")), True, 50)
+
+
+@query("U2_merge_cumulative", "SELECT text AS file, max(length(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY text")
+def cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("text").alias("file"), F.length("text").cast("long").alias("size"), "doc_id")
+    return M.merge_cumulative(d.where("doc_id % 3 = 0").dropDuplicates(["file"]), d.where("doc_id % 2 = 0 OR doc_id % 3 <> 0"))
 
 
 @query("U1_merge_runs", W + ' SELECT type, id, hash FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY "commit" DESC) AS n FROM E WHERE "commit" IN (3, 4, 5)) WHERE n = 1')
@@ -158,16 +206,25 @@ def recreate(spark: SparkSession, sf: str) -> DataFrame:
     return M.rebuild(entries(spark, sf), [(1, 30)]).where("commit = 14").unionByName(entries(spark, sf).where("commit = 14 AND kind = 'x'")).dropDuplicates(["type", "id"]).select("type", "id", "kind", "hash")
 
 
-@query("T4_rate_windows")
+_HOURS = 6 * 3600
+
+
+@query("T4_rate_windows", f"WITH RECURSIVE h AS (SELECT user_id AS caller, CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT caller, sec, min(sec) OVER (PARTITION BY caller ORDER BY sec RANGE BETWEEN {_HOURS} FOLLOWING AND UNBOUNDED FOLLOWING) AS nx, row_number() OVER (PARTITION BY caller ORDER BY sec) AS rn FROM h), w(caller, opened, nx) AS (SELECT caller, sec, nx FROM x WHERE rn = 1 UNION ALL SELECT x.caller, x.sec, x.nx FROM w JOIN x ON x.caller = w.caller AND x.sec = w.nx) SELECT w.caller, opened, CAST(sum(n) AS BIGINT) AS hits FROM w JOIN h ON h.caller = w.caller AND h.sec >= opened AND h.sec < opened + {_HOURS} GROUP BY w.caller, opened")
 def rate_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return L.windows(table(spark, sf, "events").select(F.col("user_id").alias("caller"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 60)
+    return L.windows(table(spark, sf, "events").select(F.col("user_id").alias("caller"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), _HOURS)
 
 
 @query("F9_extra_fields", "SELECT p_partkey AS k, field FROM (SELECT p_partkey, unnest(['p_brand', 'p_type']) AS field FROM part)")
 def extra_fields(spark: SparkSession, sf: str) -> DataFrame:
     data = F.to_json(F.struct("p_name", "p_brand", "p_type"))
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.array_except(F.json_object_keys(data), F.array(F.lit("p_name"), F.lit("p_size"))).alias("x"))
-    return rows.select("k", F.explode("x").alias("field"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), data.alias("data"))
+    return rows.select("k", F.explode(schemas.extra_fields(F.col("data"), {"properties": {"p_name": {}, "p_size": {}}})).alias("field"))
+
+
+@query("F9_stripped", "SELECT p_partkey AS k, '{\"p_name\":\"' || p_name || '\",\"p_size\":' || CAST(p_size AS VARCHAR) || '}' AS data FROM part")
+def stripped(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.to_json(F.struct("p_name", "p_brand", "p_size")).alias("data"))
+    return rows.select("k", schemas.stripped(F.col("data"), {"properties": {"p_size": {}, "p_name": {}}}).alias("data"))
 
 
 @query("F11_scoped_save", W + f", {state_sql('A', 10)}, {state_sql('B', 20)} SELECT A.type, A.id, 'removed' AS op FROM A LEFT JOIN B ON A.type = B.type AND A.id = B.id WHERE B.id IS NULL AND A.type = 'click' AND CAST(A.id AS INTEGER) < 60")
@@ -177,8 +234,9 @@ def scoped_save(spark: SparkSession, sf: str) -> DataFrame:
     return M.save(V.state(e, 10), V.state(e, 20), "set", scope).where("op = 'removed'").drop("hash")
 
 
-@query("X3_held_rows", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 6 = 0)")
+@query("X3_held_rows", "SELECT o_orderkey AS k, 'additions' AS mode FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 6 = 0)")
 def held_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderkey")).alias("id"))
     decisions = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
-    return rows.where("id IS NULL").join(decisions, "k", "left_anti").select("k")
+    _, held, mode = U.import_plan(rows, decisions, "k")
+    return held.select("k", F.lit(mode).alias("mode"))

@@ -114,7 +114,14 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
 @query("M19_usage_rollup", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 25 AS account, event_type AS metric, CAST(sum(event_id % 100) AS BIGINT) AS amount FROM events GROUP BY ALL")
 def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     twice = usage(spark, sf).unionByName(usage(spark, sf).where("event_id % 4 = 0"))  # delivered at least once
-    return twice.dropDuplicates(["event_id"]).groupBy("day", "account", "metric").agg(F.sum("amount").alias("amount"))
+    return M.usage_rollup(twice, "event_id", ["day", "account", "metric"])
+
+
+@query("A14_usage_upsert", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 25 AS account, event_type AS metric, CAST(sum(event_id % 100) AS BIGINT) AS amount FROM events GROUP BY ALL")
+def usage_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["day", "account", "metric"]
+    u = usage(spark, sf)
+    return M.add_usage(M.usage_rollup(u.where("event_id % 3 <> 0"), "event_id", keys), u.where("event_id % 3 = 0"), keys)
 
 
 @query("V8_verify_log", f"WITH {VERSIONS}, c AS (SELECT collection, CASE WHEN version % 40 = 0 THEN seq + 1 ELSE seq END AS number, version, seq FROM versions), g AS (SELECT collection, number, lag(number) OVER (PARTITION BY collection ORDER BY number) AS p FROM (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.collection = c.collection AND d.number = c.number AND d.version <> c.version AND d.seq < c.seq))) SELECT collection, number, 'gap' AS problem FROM g WHERE (p IS NULL AND number <> 1) OR number - p <> 1")
