@@ -81,3 +81,32 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(n, n + 1) for n in range(0, 60)] + [(1000, 1000 + n) for n in range(1, 50)] + [(2001, 2000), (5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: 0 for n in range(61)} | {1000 + n: 1000 for n in range(50)} | {2000: 2000, 2001: 2000}
+
+
+def test_clashing_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    names = ["_a", "_b", "_d", "_n", "_fp", "row", "node", "n_shingles", "kept", "word", "bits", "u", "v", "least", "fp", "id"]
+    docs = frame(spark).withColumns({c: F.lit(f"own {c}") for c in names})
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in names)
+    assert len(minhash.near_duplicates(docs).columns) == 4
+
+
+def test_a_text_of_a_megabyte(spark):
+    r = random.Random(7)
+    long = sentence(r, 160_000)
+    words = long.split()
+    rows = [(1, long, "en", "s", 0), (2, " ".join(words[:-9] + ["x"] * 9), "en", "s", 0), (3, " ".join(words[:80_000]), "en", "s", 0), (4, long, "en", "s", 0)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {x["doc_id"] for x in minhash.keep_one(frame(spark, rows)).collect()} == {1, 3}
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    from recordloom.llm import common
+
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert result(minhash.near_duplicates(frame(spark), 4)) == brute(documents(), 4)
