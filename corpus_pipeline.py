@@ -1,4 +1,10 @@
-"""A training corpus out of documents: five stages, each an operator of recordloom.llm applied to all its predecessor kept."""
+"""A training corpus out of documents: five stages, each an operator of recordloom.llm applied to all its predecessor kept.
+
+Defined results, of every stage but the last: all columns stay, whatever their names, and n_chars, if there, follows a text
+that a stage changes. Null and empty texts are never toxic by their words, have no lines, shingles or test items, and stay;
+rows that repeat in doc_id and text are one after keep_one, and rows without a word stay all; null doc_ids are ids like
+others. Texts of any length are read whole. Of copies, and of ties, the smallest doc_id stays. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +38,7 @@ def stage(f: Stage) -> Stage:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the model learns from the labelled rows of documents and labels."""
+    """Documents that score as toxic go; the model learns from the labelled rows of documents and labels, and without any label none go."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -45,7 +51,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingles of five words are alike to 0.8, one stays."""
+    """Of documents whose shingles of five words are alike to 0.8, the one of the smallest doc_id stays."""
     return minhash.keep_one(docs)
 
 
@@ -57,7 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces with their places in sequences."""
+    """Documents as pieces with their places in sequences; a document without text is a piece of the end id alone."""
     return packing.pack_documents(docs)
 
 
