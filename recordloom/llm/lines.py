@@ -140,3 +140,16 @@ def without_emptied(docs: DataFrame, given: DataFrame) -> DataFrame:
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Runs of two lines by their bytes, the first of equal ones, and what of each text is left.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+p AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d WHERE text IS NOT NULL),
+o AS (SELECT *, 1 + coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p),
+l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS n, lead(s) OVER (PARTITION BY r ORDER BY i) AS nx, lead(s + length(line)) OVER (PARTITION BY r ORDER BY i) AS e FROM o WHERE line <> ''),
+c AS (SELECT r, n, row_number() OVER (PARTITION BY substring(text, CAST(s AS BIGINT), CAST(e - s AS BIGINT)) ORDER BY doc_id NULLS FIRST, r, n) AS k FROM l WHERE e IS NOT NULL),
+g AS (SELECT DISTINCT r, n FROM (SELECT r, n FROM c WHERE k > 1 UNION ALL SELECT r, n + 1 FROM c WHERE k > 1)),
+x AS (SELECT l.r, count(*) AS n_lines, count(g.n) AS n_removed, min(s) AS head, coalesce(string_agg(CASE WHEN g.n IS NULL THEN substring(text, CAST(s AS BIGINT), CAST(coalesce(nx, length(text) + 1) - s AS BIGINT)) END, '' ORDER BY l.n), '') AS kept FROM l LEFT JOIN g ON g.r = l.r AND g.n = l.n GROUP BY l.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN x.r IS NULL THEN coalesce(text, '') ELSE substring(text, 1, CAST(head - 1 AS BIGINT)) || kept END) AS kept_sha256 FROM d LEFT JOIN x ON x.r = d.r
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP10_SQL, op10_decontamination
-from .lines import op8_lines
+from .lines import OP8_SQL, op8_lines
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op1_packing
 from .personal import op6_personal
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_minhash": OP5_SQL, "op7_pivots": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_minhash": OP5_SQL, "op7_pivots": OP7_SQL, "op8_lines": OP8_SQL, "op10_decontamination": OP10_SQL}
