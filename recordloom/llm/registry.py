@@ -12,7 +12,7 @@ from .minhash import OP5_SQL, op5_minhash
 from .packing import op1_packing
 from .personal import op6_personal
 from .pivots import OP7_SQL, op7_pivots
-from .sharding import op9_sharding
+from .sharding import OP9_SQL, op9_sharding
 from .substrings import OP3_SQL, op3_substrings
 from .toxicity import op4_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_minhash": OP5_SQL, "op7_pivots": OP7_SQL, "op8_lines": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_minhash": OP5_SQL, "op7_pivots": OP7_SQL, "op8_lines": OP8_SQL, "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}

@@ -100,3 +100,31 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _times(x: str, c: int) -> str:
+    """x times a constant modulo 2^64, in halves that fit 128 bits."""
+    return f"((({x}) * {c >> 32} % 4294967296) * 4294967296 + ({x}) * {c & 0xFFFFFFFF}) % 18446744073709551616"
+
+
+_KEY_LIST = "[" + ", ".join(f"CAST({k} AS HUGEINT)" for k in KEYS) + "]"
+#: Numbers in the order of ids, which are unique in the given table, rounds of the permutation one at a time until a value is in range, and CRC-32 by its table.
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) - 1 AS k, doc_id, coalesce(text, '') AS text FROM documents),
+z AS (SELECT count(*) AS n, CAST(power(2, greatest(1, (CAST(ceil(log2(greatest(count(*), 2))) AS BIGINT) + 1) // 2)) AS HUGEINT) AS b FROM d),
+w(k, t, l, r) AS (
+  SELECT k, 0, CAST(k AS HUGEINT) // b, CAST(k AS HUGEINT) % b FROM d, z
+  UNION ALL
+  SELECT k, t + 1, r, xor(l, xor(a4, a4 // 2147483648) % b) FROM (
+    SELECT *, {_times("a3", 0x94D049BB133111EB)} AS a4 FROM (
+      SELECT *, xor(a2, a2 // 134217728) AS a3 FROM (
+        SELECT *, {_times("a1", 0xBF58476D1CE4E5B9)} AS a2 FROM (
+          SELECT *, xor(a0, a0 // 1073741824) AS a1 FROM (SELECT w.*, b, (r + {_KEY_LIST}[t % {len(KEYS)} + 1]) % 18446744073709551616 AS a0 FROM w, z WHERE NOT (t > 0 AND t % {len(KEYS)} = 0 AND l * b + r < n))))))),
+p AS (SELECT k, CAST(l * b + r AS BIGINT) AS p FROM w, z WHERE t > 0 AND t % {len(KEYS)} = 0 AND l * b + r < n),
+c0 AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) AS q(i)),
+ct(i, c, step) AS (SELECT i, c, step FROM c0 UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM ct WHERE step < 8),
+tt AS (SELECT list(c ORDER BY i) AS tab FROM ct WHERE step = 8),
+h AS (SELECT k, doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS m FROM d),
+y AS (SELECT k, doc_id, m, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substring(x, 2 * j + 1, 2) AS BIGINT) FOR j IN range(0, m)]), lambda s, u: xor(s // 256, tab[xor(s % 256, u) + 1])) AS crc FROM h, tt)
+SELECT doc_id, CAST(m + 8 AS BIGINT) AS size, xor(crc, 4294967295) AS text_crc32, 'rows' AS law, CAST(p % {SHARDS} AS INTEGER) AS shard, p // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM y JOIN p ON p.k = y.k
+"""
