@@ -13,6 +13,7 @@ def rows(n=3000, seed=1):
 
 
 def test_a_key_block_as_the_format_says():
+    """The line and its hash are a published vector of the format. Fixed values."""
     line = '{"id":"10.1000/abc","type":"work","data":{"title":"On Sorting","year":2024}}'
     _, content, data = build([Row("r", "work", "10.1000/abc", line)], False, "mark")
     assert content["keyBlocks"] == [["work", "10.1000/abc", "a6210c1b3dcb993166ac9e088e74be43ea50246eb77fda176f5ef2d67d0e001a", 1]]
@@ -58,3 +59,23 @@ def test_files_do_not_depend_on_partitions(spark):
     one = {(r["file"], r["file_id"]) for r in files.write_files(df.repartition(1), "file", "mark").collect()}
     assert one == {(r["file"], r["file_id"]) for r in files.write_files(df.repartition(5), "file", "mark").collect()}
     assert all(File(bytes(r["data"])).problems() == [] for r in files.write_files(df, "file", "mark").collect())
+
+
+def test_labeled_files_cut_by_key_and_size(spark):
+    from recordloom.operators.layouts import files_cut
+
+    r = random.Random(3)
+    made = [(t, f"k{n:04d}", c, None if r.random() < 0.2 else r.randrange(20, 90)) for t in ("a", "b") for n in range(400) for c in range(1, r.randrange(2, 5))]
+    df = spark.createDataFrame(made, "type string, id string, commit long, size long").repartition(4)
+    cut = files_cut(df, 3000, 1500, 40).collect()
+    assert len(cut) == len(made)
+    by_key, held = {}, {}
+    for x in cut:
+        by_key.setdefault((x["type"], x["id"]), set()).add((x["file"], x["piece"]))
+        held.setdefault((x["type"], x["file"], x["piece"]), []).append(x)
+    assert all(len(v) == 1 for v in by_key.values())  # a key's rows stay together
+    assert max(len(v) for v in held.values()) < 40 + 5 and len(held) > 20
+    ranges = sorted((t, min(x["id"] for x in v), max(x["id"] for x in v)) for (t, _, _), v in held.items())
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(ranges[:-1], ranges[1:], strict=True))  # files do not overlap
+    again = {(x["type"], x["id"], x["commit"]): (x["file"], x["piece"]) for x in files_cut(df.repartition(9), 3000, 1500, 40).collect()}
+    assert again == {(x["type"], x["id"], x["commit"]): (x["file"], x["piece"]) for x in cut}
