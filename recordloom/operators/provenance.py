@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,27 +33,73 @@ def inherited_removals(references: DataFrame, place: list[str] = PLACE) -> DataF
     return lone.groupBy(*place).agg(F.min("seq").alias("removed"))
 
 
+#: Steps of paths that may be walked on the driver and broadcast; 64 MB or so.
+WALKED = 500_000
+
+
+def _walked(forks: DataFrame) -> DataFrame | None:
+    """Paths of a small table of forks; None if it is not one."""
+    rows = forks.select("parent", "child", "at", "private").limit(WALKED + 1).collect()
+    up = {r["child"]: r for r in rows}
+    out, left = [], WALKED
+    if len(rows) > WALKED or len(up) < len(rows):
+        return None
+    for end in up:
+        steps, at = [], end
+        while at in up and len(steps) <= len(up):
+            r = up[at]
+            steps.insert(0, (r["child"], r["at"], r["private"]))
+            at = r["parent"]
+            left -= len(steps)
+            if left < 0:
+                return None
+            out.append((at, end, list(steps)))
+    kind = forks.schema["child"].dataType.simpleString()
+    return F.broadcast(forks.sparkSession.createDataFrame(out, f"collection {kind}, child {kind}, steps array<struct<child: {kind}, at: long, private: boolean>>"))
+
+
+def fork_paths(forks: DataFrame) -> DataFrame:
+    """(collection, child, steps) for every collection and every fork below it: the forks (child, at, private) on the way, in order.
+
+    A table of few forks is walked on the driver, and its paths are broadcast; of more, lengths double each round.
+    """
+    small = _walked(forks)
+    if small is not None:
+        return small
+    step = F.struct("child", "at", "private")
+    every = longest = settled(forks.select(F.col("parent").alias("collection"), "child", F.array(step).alias("steps")))
+    size = 1
+    while True:
+        on = every.select(F.col("collection").alias("child"), F.col("child").alias("_c"), F.col("steps").alias("_s"))
+        more = settled(longest.join(on, "child").select("collection", F.col("_c").alias("child"), F.concat("steps", "_s").alias("steps")))
+        if not more.head(1):
+            return every
+        size *= 2
+        every, longest = every.unionByName(more), more.where(F.size("steps") == size)
+
+
 def into_forks(references: DataFrame, forks: DataFrame) -> DataFrame:
     """Presence intervals, carried into forks (child, parent, at, private) of any depth.
 
     references have a column set (public or private). A fork's version 1 holds what its parent held at the fork point, until
     the fork removes it; private places are carried only into forks made with the private set, and a place that is already
-    there from version 1 is not carried again. Forks are followed level by level until a level adds nothing.
+    there from version 1 is not carried again. Each interval meets the forks below its collection at once, and a place is
+    carried to one if every fork on the way holds it at the next one's fork point.
     """
     place = [*PLACE, "set"]
-    own = settled(presence(references, place))
-    removed = settled(inherited_removals(references, place))
-    edges = forks.select("child", F.col("parent").alias("collection"), "at", "private")
-    levels, started = [own], own.where("from_seq = 1").select(*place)
-    while True:
-        held = (F.col("from_seq") <= F.col("at")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("at"))) & ((F.col("set") == "public") | F.col("private"))
-        carried = levels[-1].join(edges, "collection").where(held).select("hash", F.col("child").alias("collection"), "type", "id", "set").distinct()
-        fresh = carried.join(started, place, "left_anti").join(removed, place, "left")
-        fresh = settled(fresh.select(*place, F.lit(1).cast("long").alias("from_seq"), F.col("removed").alias("to_seq")))
-        if not fresh.head(1):
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(fresh)
-        started = started.unionByName(fresh.select(*place))
+    rest = [c for c in place if c != "collection"]
+    own = presence(references, place)
+    first = F.col("steps")[0]["at"]
+    held = (F.col("from_seq") <= first) & (F.col("to_seq").isNull() | (F.col("to_seq") > first))
+    met = own.join(fork_paths(forks), "collection").where(held & ((F.col("set") == "public") | F.forall("steps", lambda x: x["private"])))
+    each = met.select(*rest, F.col("collection").alias("root"), F.col("child").alias("fork"), "steps", F.posexplode("steps").alias("k", "s"))
+    each = each.select(*rest, "root", "fork", F.col("s.child").alias("collection"), F.try_element_at("steps", F.col("k") + 2)["at"].alias("next_at"))
+    there = own.where("from_seq = 1").select(*place, F.lit(True).alias("there"))
+    known = each.join(inherited_removals(references, place), place, "left").join(there, place, "left")
+    on = F.col("there").isNull() & (F.col("next_at").isNull() | ((F.col("next_at") >= 1) & (F.col("removed").isNull() | (F.col("next_at") < F.col("removed")))))
+    carried = known.groupBy(*rest, "root", "fork").agg(F.bool_and(on).alias("on"), F.max(F.when(F.col("collection") == F.col("fork"), F.col("removed"))).alias("to_seq")).where("on")
+    carried = carried.select("hash", F.col("fork").alias("collection"), "type", "id", "set", F.lit(1).cast("long").alias("from_seq"), "to_seq").distinct()
+    return own.unionByName(carried)
 
 
 def presence_of(references: DataFrame, forks: DataFrame, hash_: str) -> DataFrame:

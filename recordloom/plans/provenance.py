@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import provenance as P
+from ..operators.lineage import settled
 from .fixtures import REFERENCES, references
 from .registry import query
 
@@ -47,7 +48,7 @@ def fork_references(spark: SparkSession, sf: str) -> DataFrame:
     more = [base.where("seq % 5 = 0").withColumns({"seq": seq + 60, "op": F.lit("-")})]
     for fork, every, later, op in (("f1", 3, 200, "-"), ("f2", 4, 300, "-"), ("f2", 8, 400, "+")):
         more.append(own.where(seq % every == 0).withColumns({"collection": F.lit(fork), "seq": seq + later, "op": F.lit(op)}))
-    return reduce(DataFrame.unionByName, more, base)
+    return settled(reduce(DataFrame.unionByName, more, base))  # it stands for a log that is stored
 
 
 def fork_table(spark: SparkSession) -> DataFrame:
