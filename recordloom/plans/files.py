@@ -254,6 +254,7 @@ def database_table(spark: SparkSession, sf: str) -> DataFrame:
 
     from ..sources.tables import read_jdbc
 
+    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", "/dev/null")  # no log beside the program
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     table(spark, sf, "part").select(F.col("p_partkey").alias("K"), F.col("p_name").alias("N"), F.col("p_size").alias("Z")).write.jdbc(url, "parts", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     got = read_jdbc(spark, url, "parts", "K", 4, properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})

@@ -150,6 +150,7 @@ def test_many_rows_of_a_sqlite_file(spark, tmp_path, monkeypatch):
 
 
 def test_a_database_table_is_read_in_ranges(spark):
+    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
     url = "jdbc:derby:memory:ranges;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(100).selectExpr("id AS K", "id * 2 AS V").write.jdbc(url, "t", properties=driver)
