@@ -1,37 +1,45 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by the PREFIX reference points nearest to it. Inverted lists are kept for pairs of pivots, so
-members of a list share two pivots at least; each list is compared in blocks by cosine in double precision, and a link
-counts in the list of its two least shared pivots only, so that it counts once. Pivots are a sample of at most MAX_PIVOTS
-vectors (without near-copies of each other, filled up with fixed random directions); every vector is indexed. Their number
-follows the square root of the rows, which keeps lists short.
-
-A list of many vectors is dealt to blocks, and a task returns a count and a root for each of its rows, never its pairs.
-Recall against brute force is tested to be 0.9 at least; no pair below the threshold is linked.
-
-Vectors of each length have their own pivots and lists, as only those of equal length can link.
-
-Defined results: vectors that are null, zero or hold null or non-finite components link with nothing; rows that repeat link with each other; a null vec_id counts as a vector, and a component without any other
-id has a null id; an empty table gives an empty result; other columns are ignored.
+Every distinct vector is described by the PREFIX reference points nearest to it, nearest first. Inverted lists are kept for
+pairs of the HEAD nearest, so that members of a list share two pivots at least. A list's descriptions are dealt to blocks,
+and for each pair of blocks shared pivots are counted: pairs with SHARED common ones whose ranks agree (the sum of PREFIX
+less the difference of ranks reaches ORDER) are candidates. Vectors go only to block pairs where they have a candidate, and
+are verified there by cosine in double precision. A link counts in the list of its two least shared head pivots only, so
+that it counts once; a task returns a count and a root for each of its rows, never its pairs.
+
+Pivots are a sample of vectors without near-copies of each other, filled up with fixed random directions; every vector is
+indexed. Their number follows the square root of the rows, which keeps lists short, as long as they fit PIVOT_BYTES, the
+bound of what is broadcast; with still more rows lists get longer, and all of a list is compared all the same. Recall
+against brute force is tested to be 0.98 at least on planted pairs; no pair below the threshold is linked.
+
+Equal vectors are one node with a count, found by a 128-bit hash. Vectors of each length have their own pivots and lists,
+as only those of equal length can link.
+
+Defined results: vectors that are null, zero or hold null or non-finite components link with nothing, not with their copies
+either; other rows that repeat link with each other; a null vec_id counts as a vector, and a component without any other id
+has a null id; ties between pivots go to the lower one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table, tuned
-from .minhash import BLOCK, block_pairs, forest, grouped
+from .common import components, cut, drop, table, tuned
+from .minhash import BLOCK, block_pairs, forest
 
 COSINE = 0.95
-PREFIX = 6
-MIN_PIVOTS, MAX_PIVOTS = 32, 4096
+#: Pivots that describe a vector, and how many of the nearest make its lists.
+PREFIX, HEAD = 12, 6
+#: Common pivots of a candidate pair, and the least agreement of their ranks.
+SHARED, ORDER = 5, 45
+MIN_PIVOTS, PIVOT_BYTES = 32, 64 << 20
 #: Pivots that are nearer to each other than this are taken once.
 APART = 0.7
 
@@ -52,81 +60,179 @@ def matrix(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, got / np.linalg.norm(got, axis=1, keepdims=True)
 
 
+def pivots_for(rows: int, size: int) -> int:
+    """How many pivots so many vectors of that size get."""
+    most = min(1 << 16, 1 << int(math.log2(max(MIN_PIVOTS, PIVOT_BYTES // (8 * size)))))
+    return min(most, max(MIN_PIVOTS, 1 << round(math.log2(max(1, rows)) / 2)))
+
+
 def choose_pivots(vectors: DataFrame, size: int, n: int) -> np.ndarray:
     """n unit vectors, from a sample of at most 2 n rows."""
     some = vectors.where(F.size("embedding") == size).orderBy(F.xxhash64("embedding"), "node").limit(2 * n).select("embedding").toArrow()  # so many rows at most
     _, x = matrix(some["embedding"].combine_chunks(), size) if len(some) else (None, np.zeros((0, size)))
-    kept: list[int] = []
-    near = np.abs(x @ x.T) if len(x) else x
-    for i in range(len(x)):
-        if len(kept) < n and not (near[i, kept] >= APART).any():
-            kept.append(i)
+    kept = np.zeros((0, size))
+    for at in range(0, len(x), 256):
+        own = x[at : at + 256]
+        own = own[(np.abs(own @ kept.T) < APART).all(1)]
+        near, chosen = np.abs(own @ own.T), []
+        for i in range(len(own)):
+            if not (near[i, chosen] >= APART).any():
+                chosen.append(i)
+        kept = np.concatenate((kept, own[chosen]))[:n]
     more = np.random.default_rng(11).normal(size=(n - len(kept), size))
-    return np.concatenate((x[kept], more / np.linalg.norm(more, axis=1, keepdims=True)))
+    return np.concatenate((kept, more / np.linalg.norm(more, axis=1, keepdims=True)))
 
 
-def permutations(vectors: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PREFIX) -> DataFrame:
-    """node, unit vector, prefix (its nearest pivots, ascending) and keys (its length and pairs of them) of vectors that can link. pivots: by length."""
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors of a length
-    pairs = np.array(list(combinations(range(prefix), 2)))
+def permutations(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """node, copies, prefix (its nearest pivots, nearest first) and keys (its length and pairs of the nearest) of vectors that can link. pivots: by length."""
+    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most for a length
+    pairs = np.array(list(combinations(range(HEAD), 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size in sorted(set(batch.column(1).value_lengths().to_pylist()) & sent.value.keys()):
-                rows, x = matrix(batch.column(1), size)
-                near = np.sort(np.argpartition(-(x @ sent.value[size].T), prefix - 1, axis=1)[:, :prefix], axis=1)
-                keys = (size << 32) + (near[:, pairs[:, 0]] << 16) + near[:, pairs[:, 1]]
+            for size in sorted(set(batch.column(2).value_lengths().drop_null().to_pylist()) & sent.value.keys()):
+                rows, x = matrix(batch.column(2), size)
+                near = np.argsort(-(x @ sent.value[size].T), axis=1, kind="stable")[:, :PREFIX]
+                head = np.sort(near[:, :HEAD], axis=1)
+                keys = (size << 32) + (head[:, pairs[:, 0]] << 16) + head[:, pairs[:, 1]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(pairs)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in near.astype(np.int32)], pa.binary()), lists], names=["node", "vector", "prefix", "keys"])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([v.tobytes() for v in near.astype(np.uint16)], pa.binary()), lists], names=["node", "copies", "prefix", "keys"])
 
-    return vectors.select("node", "embedding").mapInArrow(run, "node long, vector binary, prefix binary, keys array<long>")
+    return vectors.select("node", "copies", "embedding").mapInArrow(run, "node long, copies long, prefix binary, keys array<long>")
 
 
-def links(members: DataFrame, prefix: int = PREFIX, cosine: float = COSINE) -> DataFrame:
-    """members (key, size, node, vector, prefix) -> node, links (found in this list), root (least row it reaches in this list)."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole block pairs, many at a time, and where each begins and the last ends."""
+    held, n = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held, n = ([*held, batch], n + len(batch)) if len(batch) else (held, n)
+            if n < rows:
+                continue
+        if not n:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids = np.stack([t[x].to_numpy().astype(np.int64) for x in ("key", "p", "q")])
+        starts = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist()
+        if batch is None:
+            yield t, [0, *starts, len(t)]
+        elif starts:
+            yield t.slice(0, starts[-1]), [0, *starts]
+            held = t.slice(starts[-1]).to_batches()
+            n = len(t) - starts[-1]
+
+
+def described(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["prefix"].to_pylist()), np.uint16).reshape(-1, PREFIX).astype(np.int64)
+
+
+def candidates(key: int, p: int, q: int, i: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows u, v of a block pair that belong to its list and agree in enough pivots and in their order."""
+    names, ids = np.unique(near, return_inverse=True)
+    held = np.zeros((len(near), len(names)), np.float32)
+    held[np.arange(len(near))[:, None], ids.reshape(near.shape)] = 1
+    if p == q:
+        u, v = np.nonzero(held @ held.T >= SHARED)
+        u, v = u[u < v], v[u < v]
+    else:
+        left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
+        u, v = np.nonzero(held[left] @ held[right].T >= SHARED)
+        u, v = left[u], right[v]
+    if not len(u):
+        return u, v
+    found = []
+    for at in range(0, len(u), 1 << 15):
+        a, b = u[at : at + (1 << 15)], v[at : at + (1 << 15)]
+        ok = ((near[a][:, :, None] == near[b][:, None, :]) * _RANKS).sum((1, 2)) >= ORDER
+        a, b = a[ok], b[ok]
+        head = np.sort(near[a][:, :HEAD], axis=1)
+        common = (head[:, :, None] == near[b][:, None, :HEAD]).any(2)
+        first = common.argmax(1)
+        common[np.arange(len(a)), first] = False
+        own = key >> 32 << 32 | head[np.arange(len(a)), first] << 16 | head[np.arange(len(a)), common.argmax(1)]
+        found.append(np.stack((a, b))[:, own == key])
+    u, v = np.concatenate(found, 1)
+    return u, v
+
+
+_RANKS = PREFIX - np.abs(np.arange(PREFIX)[:, None] - np.arange(PREFIX)[None])
+_ROWS = "key long, p int, q int, i int, node long, copies long, prefix binary"
+
+
+def pairs_of(t: pa.Table, bounds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of each block pair of a table, as its rows."""
+    near, i = described(t), t["i"].to_numpy()
+    key, p, q = (t[x].to_numpy()[bounds[:-1]].tolist() for x in ("key", "p", "q"))
+    for n, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if b - a > 1:
+            u, v = candidates(key[n], p[n], q[n], i[a:b], near[a:b])
+            if len(u):
+                yield a + u, a + v
+
+
+def partnered(members: DataFrame) -> DataFrame:
+    """members (key, size, node, copies, prefix) -> rows of block pairs that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["key", "p", "q"]):
-            i, node = t["i"].to_numpy(), t["node"].to_numpy()
-            key, p, q = (t[x][0].as_py() for x in ("key", "p", "q"))
-            x = np.frombuffer(b"".join(t["vector"].to_pylist())).reshape(-1, key >> 32)
-            near = np.frombuffer(b"".join(t["prefix"].to_pylist()), np.int32).reshape(-1, prefix)
-            left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
-            u, v = np.nonzero(x[left] @ x[right].T >= cosine)
-            u, v = left[u], right[v]
-            if p == q:
-                u, v = u[u < v], v[u < v]
-            if not len(u):
-                continue
-            shared = (near[u][:, :, None] == near[v][:, None, :]).any(2)
-            first = shared.argmax(1)
-            shared[np.arange(len(u)), first] = False
-            own = key >> 32 << 32 | near[u, first].astype(np.int64) << 16 | near[u, shared.argmax(1)]
-            n = np.bincount(u[own == key], minlength=len(t)) + np.bincount(v[own == key], minlength=len(t))
-            least = forest(u, v, len(t))
-            some = np.flatnonzero((n > 0) | (least != np.arange(len(t))))
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[least[some]])], names=["node", "links", "root"])
+        for t, bounds in whole_groups(batches):
+            some = [x for pair in pairs_of(t, bounds) for x in pair]
+            if some:
+                yield from t.take(pa.array(np.unique(np.concatenate(some)))).combine_chunks().to_batches()
 
-    dealt = block_pairs(members, "key", F.ceil(F.col("size") / BLOCK))
-    return dealt.select("key", "p", "q", "i", "node", "vector", "prefix").mapInArrow(run, "node long, links long, root long")
+    return block_pairs(members, "key", F.ceil(F.col("size") / BLOCK)).select("key", "p", "q", "i", "node", "copies", "prefix").mapInArrow(run, _ROWS)
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, prefix: int = PREFIX) -> DataFrame:
+def links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """partnered rows with embedding -> node, links (vectors found in this list), root (least row it reaches in this list)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches):
+            node, copies, sizes = (t[x].to_numpy() for x in ("node", "copies", "key"))
+            sizes = sizes >> 32
+            places, unit = np.zeros(len(t), np.int64), {}
+            for size in np.unique(sizes).tolist():
+                at, unit[size] = matrix(t["embedding"].combine_chunks(), size)
+                places[at] = np.arange(len(at))
+            out = []
+            for u, v in pairs_of(t, bounds):
+                x = unit[int(sizes[u[0]])]
+                on = np.concatenate([np.einsum("ij,ij->i", x[places[u[k : k + 4096]]], x[places[v[k : k + 4096]]]) >= cosine for k in range(0, len(u), 4096)])
+                u, v = u[on], v[on]
+                if len(u):
+                    a = min(u.min(), v.min())
+                    u, v, size = u - a, v - a, max(u.max(), v.max()) - a + 1
+                    n = np.bincount(u, copies[a + v], size).astype(np.int64) + np.bincount(v, copies[a + u], size).astype(np.int64)
+                    some = np.flatnonzero(n)
+                    out.append((node[a + some], n[some], node[a + forest(u, v, size)[some]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "links", "root"])
+
+    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.select("key", "p", "q", "i", "node", "copies", "prefix", "embedding").mapInArrow(run, "node long, links long, root long")
+
+
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    spark = tuned(embeddings.sparkSession)
-    vectors = cut(embeddings.select("vec_id", "embedding").withColumn("node", F.monotonically_increasing_id()), "vectors")
-    sizes = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("s")).count().where("count > 1").collect()  # a row for each length
-    wanted = {r["s"]: min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(r["count"]) / 2))) for r in sizes}
-    described = cut(permutations(vectors, {s: choose_pivots(vectors, s, n) for s, n in wanted.items()}, prefix), "permutations")
-    keys = described.select("node", F.explode("keys").alias("key"))
-    lists = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = described.select("node", "vector", "prefix", F.explode("keys").alias("key")).join(lists, "key")
-    found = cut(links(members, prefix, cosine), "links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    joined = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    of = vectors.select("node", "vec_id").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return of.join(least, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    tuned(embeddings.sparkSession)
+    rows = cut(embeddings.select("vec_id", "embedding", F.monotonically_increasing_id().alias("row"), F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(0x5EED), "embedding", F.size("embedding")).alias("b")), "vectors")
+    groups = cut(rows.groupBy("a", "b").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("id")), "groups")
+    vectors = cut(rows.select(F.col("row").alias("node"), "embedding").join(groups.select("node", "copies"), "node"), "distinct")
+    sizes = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("s")).count().collect()  # a row for each length
+    index = cut(permutations(vectors, {r["s"]: choose_pivots(vectors, r["s"], pivots_for(r["count"], r["s"])) for r in sizes}), "permutations")
+    keys = index.select("node", "copies", "prefix", F.explode("keys").alias("key"))
+    lists = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    paired = cut(partnered(keys.join(lists, "key")), "partnered")
+    found = cut(links(paired.join(vectors.select("node", "embedding"), "node"), cosine), "links")
+    drop(paired, lists)
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = cut(components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))), "components")
+    of = index.select("node", "copies").join(groups.select("node", "a", "b", "id"), "node").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("id").alias("least"))
+    named = cut(of.join(least, "component").select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least", F.lit(True).alias("fine")), "named")
+    component = F.when(F.col("fine"), F.col("least")).otherwise(F.col("vec_id"))
+    out = rows.select("vec_id", "a", "b").join(named, ["a", "b"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,14 +57,40 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
-def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    ids, x = zip(*df.select("vec_id", "embedding").limit(4000).collect(), strict=True)
-    x = np.array(x, float)
+def planted(n=20_000, size=64, seed=7):
+    """Vectors with pairs whose cosines spread around the threshold, chains of them, and a group of equal ones."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, size))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = int((x @ x.T >= 0.95).sum()) - len(x)
-    got = pivots.near_vectors(df.where(df["vec_id"].isin(list(ids)))).agg({"n_links": "sum"}).first()[0]
-    assert links and 0.9 * links <= got <= links
+    for i in range(0, n // 2, 2):
+        u = r.normal(size=size)
+        u -= (u @ x[i]) * x[i]
+        c = r.uniform(0.93, 1.0)
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * u / np.linalg.norm(u)
+    x[n // 2 : n // 2 + 700] = x[n // 2]
+    x[n // 2 + 700 : n // 2 + 1400] = x[n // 2] + 0.02 * r.normal(size=(700, size))  # one dense group
+    return x.astype(np.float32)
+
+
+def test_recall_on_planted_vectors(spark):
+    x = planted()
+    df = spark.createDataFrame(enumerate(map(list, x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_vectors(df).collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = np.concatenate([(y[a : a + 2000] @ y.T >= 0.95).sum(1) - 1 for a in range(0, len(y), 2000)])
+    found = np.array([got[n][0] for n in range(len(y))])
+    assert (found <= want).all()
+    dense = slice(len(y) // 2, len(y) // 2 + 1400)
+    lone = np.r_[found[: dense.start], found[dense.stop :]].sum() / np.r_[want[: dense.start], want[dense.stop :]].sum()
+    assert lone >= 0.98 and found[dense].sum() / want[dense].sum() >= 0.98, (lone, found[dense].sum() / want[dense].sum())
+    assert {got[n][1] for n in range(dense.start, dense.start + 700)} == {dense.start}
+
+
+def test_equal_vectors_are_one_node(spark):
+    rows = [(n, [1.0, 2.0, 3.0]) for n in range(3000)] + [(5000, [1.0, 2.0, 3.1]), (5001, [0.0, 0.0, 0.0]), (5002, [0.0, 0.0, 0.0]), (5003, None), (5004, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {n: (3000, 0, n == 0) for n in range(3000)} | {5000: (3000, 0, False)} | {n: (0, n, True) for n in range(5001, 5005)}
 
 
 def test_empty_table(spark):
