@@ -211,9 +211,9 @@ def takedown(spark: SparkSession, sf: str) -> DataFrame:
     return M.rebuild(entries(spark, sf), [(15, 30)], named).select("type", "id", "commit", "kind")
 
 
-@query("X4_files_to_read", W + """, f AS (SELECT type || '/' || CAST("commit" AS VARCHAR) || '/' || substring(id, 1, 1) AS file, min(type || chr(9) || id) AS lo, max(type || chr(9) || id) AS hi FROM E WHERE type IN ('click', 'view') AND length(id) = 2 GROUP BY 1) SELECT file FROM f WHERE hi >= 'view' || chr(9) || '60' AND lo < 'view' || chr(9) || '99'""")
+@query("X4_files_to_read", W + """, f AS (SELECT type || '/' || CAST("commit" AS VARCHAR) || '/' || substring(id, 1, 1) AS file, min(type || chr(9) || id) AS lo, max(type || chr(9) || id) AS hi FROM E GROUP BY 1) SELECT file FROM f WHERE hi >= 'view' || chr(9) || '60' AND lo < 'view' || chr(9) || '99'""")
 def files_to_read(spark: SparkSession, sf: str) -> DataFrame:
-    e = entries(spark, sf).where("type IN ('click', 'view') AND length(id) = 2").groupBy(F.concat_ws("/", "type", F.col("commit").cast("string"), F.substring("id", 1, 1)).alias("file"))
+    e = entries(spark, sf).groupBy(F.concat_ws("/", "type", F.col("commit").cast("string"), F.substring("id", 1, 1)).alias("file"))
     f = e.agg(F.min(F.struct("type", "id")).alias("a"), F.max(F.struct("type", "id")).alias("b")).select("file", F.col("a.type").alias("first_type"), F.col("a.id").alias("first_id"), F.col("b.type").alias("last_type"), F.col("b.id").alias("last_id"))
     return V.files_to_read(f, ("view", "60"), ("view", "99")).select("file")
 
@@ -340,9 +340,9 @@ def bloom_filter(spark: SparkSession, sf: str) -> DataFrame:
     return maybe.where("k % 2 = 0")
 
 
-@query("f5_utf8_order", "SELECT word, octet_length(encode(word)) AS bytes, row_number() OVER (ORDER BY encode(word)) - 1 AS place FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents WHERE length(text) < 400)")
+@query("f5_utf8_order", "SELECT word, octet_length(encode(word)) AS bytes, row_number() OVER (ORDER BY encode(word)) - 1 AS place FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)")
 def utf8_order(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "documents").where("length(text) < 400").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    w = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return V.positions(w.select(F.lit("w").alias("type"), F.col("word").alias("id"))).select(F.col("id").alias("word"), F.octet_length("id").cast("long").alias("bytes"), F.col("position").alias("place"))
 
 
