@@ -38,8 +38,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Size ranges that are swept in parallel.
 RANGES = 8
-#: Units whose ids a worker remembers; about 150 bytes each.
-REMEMBERED = 1_200_000
+#: Units whose ids a worker remembers; about 150 bytes each, so 90 MB.
+REMEMBERED = 600_000
 #: What a vocabulary's file says of cutting if Units cuts as it does. Fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
