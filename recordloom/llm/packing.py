@@ -17,10 +17,10 @@ are those tokens where they stand in a text, as the library has it.
 from __future__ import annotations
 
 import json
+import pickle
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Size ranges that are swept in parallel.
 RANGES = 8
-#: Units whose ids a worker remembers; about 150 bytes each, so 90 MB.
+#: Units whose ids a worker remembers; about 50 bytes each, so 30 MB.
 REMEMBERED = 600_000
+#: Bytes of text that are cut into units at once, each of which takes some 40 bytes meanwhile.
+CHUNK = 1 << 19
 #: What a vocabulary's file says of cutting if Units cuts as it does. Fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -125,7 +127,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.number, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.ids, self.begin, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
@@ -144,10 +146,11 @@ class WordIds:
         got = self.encode(units)
         return np.concatenate(got), np.array([len(x) for x in got])
 
-    def _learn(self, hashes: list[int], units: list[str], encode) -> None:
+    def _learn(self, units: list[str], encode) -> None:
+        """Units get the next numbers in turn."""
         for a in range(0, len(units), 4096):
             ids, size = encode(units[a : a + 4096])
-            n, at = len(size), len(self.known)
+            n, at = len(size), self.count
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             while at + n > len(self.begin):
@@ -156,7 +159,14 @@ class WordIds:
             self.begin[at : at + n] = self.used + np.cumsum(size) - size
             self.size[at : at + n] = size
             self.used += len(ids)
-            self.known.update(zip(hashes[a : a + 4096], range(at, at + n), strict=True))
+            self.count += n
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of sorted hashes' units, -1 for new ones."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.number[at], -1)
 
     def __call__(self, col: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -164,22 +174,24 @@ class WordIds:
             for a in range(0, len(col), 64):
                 yield from (x.tobytes() for x in self.encode([t or "" for t in col.slice(a, 64).to_pylist()]))
             return
-        for a, b, data, off in chunks(col):
+        for a, b, data, off in chunks(col, CHUNK):
             u = Units(data, off)
             for content, normalized in self.added:
                 u.plain &= ~np.asarray(pc.match_substring(col.slice(a, b - a).fill_null(""), content, ignore_case=normalized))
-            if len(self.known) > REMEMBERED:
+            if self.count > REMEMBERED:
                 self.forget()
             hashes, where, which = np.unique(u.hash, return_index=True, return_inverse=True)
-            found = np.fromiter(map(self.known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+            found = self._find(hashes)
             new = np.flatnonzero(found < 0)
             if len(new):
                 raw = u.data.tobytes()
                 for on, encode in ((u.letters[where[new]], self._letters), (~u.letters[where[new]], self._others)):
                     some = new[on]
                     units = [raw[s:e].decode("utf-8", "replace") for s, e in zip(u.starts[where[some]].tolist(), u.ends[where[some]].tolist(), strict=True)]
-                    self._learn(hashes[some].tolist(), units, encode)
-                found[new] = [self.known[h] for h in hashes[new].tolist()]
+                    found[some] = self.count + np.arange(len(some))
+                    self._learn(units, encode)
+                at = np.searchsorted(self.known, hashes[new])
+                self.known, self.number = np.insert(self.known, at, hashes[new]), np.insert(self.number, at, found[new])
             at = found[which]
             size = self.size[at]
             total = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
@@ -253,6 +265,18 @@ def sweep(pieces: list[tuple], gaps: list[tuple], each: int) -> tuple[list[tuple
     return matches, left, stack + gaps[at:], made
 
 
+def swept_in_tasks(spark: SparkSession, ranges: list[tuple]) -> list[tuple]:
+    """Each range swept in a task of its own, by the workers that tables have: an RDD's would come on top of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([pickle.dumps(sweep(*ranges[x])) for x in n], pa.binary())], names=["id", "swept"])
+
+    found = spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, "id long, swept binary").collect()  # runs of RANGES ranges
+    return [pickle.loads(r["swept"]) for r in sorted(found, key=lambda r: r["id"])]
+
+
 def plan(spark: SparkSession, counts: dict[int, int], limit: int = LIMIT) -> tuple[np.ndarray, int]:
     """Places for counts[size] pieces of each size: rows (size, first rank, per gap, gaps, first sequence, gap size), sorted, and the number of sequences.
 
@@ -272,7 +296,7 @@ def plan(spark: SparkSession, counts: dict[int, int], limit: int = LIMIT) -> tup
         cuts = cuts[:: max(1, -(-len(cuts) // RANGES))]
         ranges = [([p for p in pieces if a <= p[0] < b], [g for g in gaps if a <= g[0] < b], each) for a, b in zip(cuts, [*cuts[1:], limit + 1], strict=True)]
         if len(ranges) > 1 and len(pieces) + len(gaps) > 4 * RANGES:
-            swept = spark.sparkContext.parallelize(ranges, len(ranges)).map(lambda x: sweep(*x)).collect()
+            swept = swept_in_tasks(spark, ranges)
         else:
             swept = [sweep(*x) for x in ranges]
         rest = [sorted((x for s in swept for x in s[k]), reverse=True) for k in (1, 2)]

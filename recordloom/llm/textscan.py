@@ -112,12 +112,12 @@ class Words:
         return self.doc[:n] == self.doc[k - 1 : k - 1 + n]
 
 
-def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about CHUNK bytes."""
+def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of rows of about size bytes."""
     data, off = text_buffer(col)
     n, a = len(col), 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b

@@ -108,3 +108,29 @@ def test_plans_of_many_shapes(spark):
                 at += n
             assert at == counts[size]
         assert len(fill) <= 1.02 * best_fit_decreasing(sizes.tolist(), 4096) + 1
+
+
+def test_a_worker_remembers_units_in_little_memory():
+    import tracemalloc
+
+    r = random.Random(8)
+    units = sorted({"".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(60_000)})
+    ids = packing.WordIds(packing.vocabulary_path())
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in ids(pa.array([" ".join(units[a : a + 1000]) for a in range(0, len(units), 1000)])):
+            pass
+        assert tracemalloc.get_traced_memory()[0] - before < 100 * len(units)
+    finally:
+        tracemalloc.stop()
+    assert list(ids(pa.array([units[7] + " " + units[-1]]))) == [np.array(tokenizer().encode(units[7] + " " + units[-1], add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_ranges_are_swept_by_workers_of_tables(spark, monkeypatch):
+    """Those of RDDs are processes of their own beside them, which an executor's memory has to hold as well."""
+    counts = {n: 1 + n % 7 for n in range(1, 200)}
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    rows, opened = packing.plan(spark, counts, 200)
+    assert sum(int(r[2] * r[3]) for r in rows) == sum(counts.values())
+    assert opened <= 1.02 * best_fit_decreasing([s for s, n in counts.items() for _ in range(n)], 200) + 1
