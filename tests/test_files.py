@@ -79,3 +79,11 @@ def test_labeled_files_cut_by_key_and_size(spark):
     assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(ranges[:-1], ranges[1:], strict=True))  # files do not overlap
     again = {(x["type"], x["id"], x["commit"]): (x["file"], x["piece"]) for x in files_cut(df.repartition(9), 3000, 1500, 40).collect()}
     assert again == {(x["type"], x["id"], x["commit"]): (x["file"], x["piece"]) for x in cut}
+
+
+def test_filters_hold_every_key_of_a_large_table(spark, tmp_path):
+    from recordloom import plans
+
+    spark.range(0, 230_000).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = plans.QUERIES["f4_bloom_filter"](spark, str(tmp_path))
+    assert (got.count(), got.distinct().count(), got.where("k % 2 <> 0").count()) == (115_000, 115_000, 0)
