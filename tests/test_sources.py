@@ -5,6 +5,7 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.sources import store, tables
 
@@ -171,3 +172,18 @@ def test_packs_give_back_what_went_in(spark):
     assert {r["hash"]: r["line"] for r in packs.read_packs(made, wanted).collect()} == {r[0]: r[1] for r in rows if r[0] in ("h0", "h3", "h499")}
     merged = packs.merge_packs(made, wanted, 0.5, 1000)
     assert {r["hash"] for r in packs.places(merged).collect()} == {"h0", "h3", "h499"}
+
+
+def test_a_tar_computes_its_records_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def line(n: int) -> str:
+        seen.add(1)
+        return f'{{"id":"{n}"}}'
+
+    k = spark.range(400).select((F.col("id") % 4).cast("string").alias("type"), F.lpad(F.col("id").cast("string"), 4, "0").alias("id"), F.udf(line)("id").alias("line"))
+    store.tar_export(k.withColumn("hash", F.sha2("line", 256)), f"file://{tmp_path}/x.tar", {})
+    assert seen.value == 400
+    got = {r["name"]: bytes(r["data"]).decode() for r in store.untar(spark, f"file://{tmp_path}/x.tar").collect()}
+    assert [x.split(",")[0] for x in got["records/3.ndjson"].splitlines()] == [f'{{"id":"{n}"' for n in range(3, 400, 4)]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["x.tar"]
