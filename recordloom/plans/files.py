@@ -247,15 +247,47 @@ def store_objects(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, created boolean, holds string")
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def database(spark: SparkSession, sf: str) -> str:
+    """The URL of a database of parts. One process at a time may write to a database of this kind, so the driver imports what tasks have written; it then lies read-only in an archive in the shared folder, where every executor may open it, if that is a folder of files."""
+    import shutil
+    import tempfile
+
+    jvm = spark.sparkContext._jvm
+    jvm.System.setProperty("derby.stream.error.file", "/dev/null")  # no log beside the program
+    jvm.java.lang.Class.forName(DERBY)
+    rows, kept = fresh_folder(spark, "database"), fresh_folder(spark, "database") + ".jar"
+    # cells are quoted, as bare ones are trimmed; null is an empty cell
+    quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('"'))
+    table(spark, sf, "part").select(F.concat_ws(",", F.coalesce(F.col("p_partkey").cast("string"), F.lit("")), F.coalesce(quoted, F.lit("")), F.coalesce(F.col("p_size").cast("string"), F.lit("")))).write.text(rows)
+    target, fs = store._fs(spark, kept)
+    path = jvm.org.apache.hadoop.fs.Path
+    with tempfile.TemporaryDirectory() as own:
+        connection = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{own}/db/parts;create=true")
+        connection.createStatement().execute("CREATE TABLE PARTS (K BIGINT, N VARCHAR(32672), Z INTEGER)")
+        call = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'PARTS', ?, ',', '\"', 'UTF-8', 0)")
+        for status in fs.listStatus(path(rows)):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                fs.copyToLocalFile(False, status.getPath(), path(f"file://{own}/rows"), True)
+                call.setString(1, f"{own}/rows")
+                call.execute()
+        connection.close()
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{own}/db/parts;shutdown=true")
+        except Exception as e:  # says so if it has gone well
+            if "shutdown" not in str(e):
+                raise
+        fs.copyFromLocalFile(False, True, path("file://" + shutil.make_archive(f"{own}/parts", "zip", f"{own}/db")), target)
+    fs.delete(path(rows), True)
+    return f"jdbc:derby:jar:({target.toUri().getPath()})parts"
+
+
 @query("S12_database_table", _PARTS)
 def database_table(spark: SparkSession, sf: str) -> DataFrame:
     """Parts in the database that comes with Spark, read by key ranges."""
-    import uuid
-
     from ..sources.tables import read_jdbc
 
-    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", "/dev/null")  # no log beside the program
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    table(spark, sf, "part").select(F.col("p_partkey").alias("K"), F.col("p_name").alias("N"), F.col("p_size").alias("Z")).write.jdbc(url, "parts", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
-    got = read_jdbc(spark, url, "parts", "K", 4, properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = read_jdbc(spark, database(spark, sf), "parts", "K", 4, properties={"driver": DERBY})
     return got.select(F.col("K").cast("string").alias("key"), F.col("N").alias("name"), F.col("Z").cast("string").alias("size"))

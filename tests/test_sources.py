@@ -187,3 +187,18 @@ def test_a_tar_computes_its_records_once(spark, tmp_path):
     got = {r["name"]: bytes(r["data"]).decode() for r in store.untar(spark, f"file://{tmp_path}/x.tar").collect()}
     assert [x.split(",")[0] for x in got["records/3.ndjson"].splitlines()] == [f'{{"id":"{n}"' for n in range(3, 400, 4)]
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["x.tar"]
+
+
+def test_another_process_reads_the_database(spark, tmp_path):
+    """As executors do, which do not share the driver's memory."""
+    import subprocess
+    import sys
+
+    from recordloom.plans import files
+
+    rows = [(1, ' a "b", c', 4), (2, "", None), (3, None, 6), (4, "é\\", 7)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    url = files.database(spark, str(tmp_path))
+    read = "from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); " + f"print([tuple(r) for r in s.read.jdbc({url!r}, 'parts', properties={{'driver': {files.DERBY!r}}}).orderBy('K').collect()])"
+    got = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True, timeout=100, check=False)
+    assert got.stdout.strip() == repr(rows), got.stderr[-2000:]
