@@ -58,7 +58,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of test items go from texts; documents that are mostly test items go, and those that line dedup has emptied."""
-    return decontamination.clean(lines.without_emptied(docs, table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(lines.without_emptied(docs, table(spark, sf_dir, "documents", at_once=False)), table(spark, sf_dir, "benchmark"))
 
 
 @stage

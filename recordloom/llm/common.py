@@ -14,13 +14,17 @@ ARROW_ROWS = 512
 #: Words of 64 bits in a filter of ids, and so the bound of what one broadcasts.
 FILTER_WORDS = 1 << 18
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Whether Parquet reads a column's chunk at once. Such a chunk lies outside the heap, and the reading threads keep that memory.
+AT_ONCE = "parquet.hadoop.vectored.io.enabled"
 _made: list[tuple[SparkSession, str]] = []
 _bases: list[tuple[SparkSession, str]] = []
 _named: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, at_once: bool = True) -> DataFrame:
+    """With at_once=False column chunks are read by small buffers on the heap: a chunk that is read at once lies outside it, and that memory is kept by the reading threads."""
+    read = spark.read if at_once else spark.read.option(AT_ONCE, "false")
+    return read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -78,7 +82,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.option(AT_ONCE, "false").schema(df.schema).parquet(path)
     out._loom_path = path
     return out
 
@@ -112,7 +116,7 @@ def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
     try:
         path = fresh_path(spark, name)
         _named[path] = where
-        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(where)
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).option(AT_ONCE, "false").saveAsTable(where)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.table(where)

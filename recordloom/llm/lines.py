@@ -129,10 +129,10 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
 
 
 def without_emptied(docs: DataFrame, given: DataFrame) -> DataFrame:
-    """docs without those that have lost all lines. Null texts stay, and those of ids that have a text without lines in given, where docs come from."""
+    """docs without those that have lost all lines. Null texts stay, and those of ids that have a text without lines in given, where docs come from; given is read before docs and not beside them, as its texts may take much memory."""
     bare = F.translate("text", "\n", "") == ""
     own = spare(docs.columns, "__id")
-    were = given.where(bare).select(F.col("doc_id").alias(own)).distinct()
+    were = cut(given.where(bare).select(F.col("doc_id").alias(own)).distinct(), "bare")
     same = F.col("doc_id").eqNullSafe(F.col(own))
     return docs.where(F.coalesce(~bare, F.lit(True))).unionByName(docs.where(bare).join(were, same, "left_semi"))
 

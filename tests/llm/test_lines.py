@@ -139,3 +139,14 @@ def test_without_emptied(spark):
     out = lines.without_emptied(docs, given)
     assert out.schema == docs.schema
     assert {x["doc_id"] for x in out.collect()} == {2, 3, None, 6, 7}
+
+
+def test_without_emptied_reads_given_once(spark, tmp_path):
+    """Given's texts are not read again beside the texts of docs by what follows."""
+    rows = frame(spark, [(1, "a\nb", "", "", 0), (2, "", "", "", 0)])
+    for name in ("given", "docs"):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    docs, given = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("docs", "given"))
+    out = lines.without_emptied(docs, given)
+    assert set(docs.inputFiles()) <= set(out.inputFiles()) and not set(given.inputFiles()) & set(out.inputFiles())
+    assert {x["doc_id"] for x in out.collect()} == {1, 2}
