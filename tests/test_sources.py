@@ -4,6 +4,7 @@ import sqlite3
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,12 @@ def test_another_process_reads_the_database(spark, tmp_path):
     read = "from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); " + f"print([tuple(r) for r in s.read.jdbc({url!r}, 'parts', properties={{'driver': {files.DERBY!r}}}).orderBy('K').collect()])"
     got = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True, timeout=100, check=False)
     assert got.stdout.strip() == repr(rows), got.stderr[-2000:]
+
+
+def test_small_members_of_a_tar_are_read_together():
+    sizes = [0, 5, 9, 2 << 20, 7, *[1 << 18] * 5]
+    raw = b"".join(store.tar_header(f"m{n}", s) + bytes([n]) * s + b"\0" * (-s % 512) for n, s in enumerate(sizes)) + b"\0" * 1024
+    batches = list(store.members(pa.py_buffer(raw)))
+    assert [len(b) for b in batches] == [3, 1, 4, 2]
+    got = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(f"m{n}", s, bytes([n]) * s) for n, s in enumerate(sizes)]
